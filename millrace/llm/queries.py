@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, packing, pii, url_trust
+from millrace.llm import chat, exact_dedup, fingerprints, near_dup, packing, pii, toxicity, url_trust
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +24,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2, capacity=1024)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(_table(spark, sf_dir, "documents"), threshold_percent=85)
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -81,7 +92,10 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_toxicity,
         op4_url_filters,
+        op5_near_dedup,
+        op6_fingerprints,
         op7_exact_dedup,
         op9_chat_formatting,
         op10_personal_data,
