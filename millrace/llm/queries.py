@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, fingerprints, near_dup, packing, pii, toxicity, url_trust
+from millrace.llm import chat, exact_dedup, fingerprints, near_dup, packing, pieces, pii, toxicity, url_trust
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The rules of the url filter (verdict, host, path).
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECE_BPE)
+    encoded = pieces.encode_sampled(_table(spark, sf_dir, "documents"), model, seed=17, temperature=0.3)
+    return pieces.decode(encoded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "ids_crc32",
+        "log_probability",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -93,6 +107,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_best_fit_packing,
         op2_toxicity,
+        op3_sentencepiece,
         op4_url_filters,
         op5_near_dedup,
         op6_fingerprints,
