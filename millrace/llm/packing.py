@@ -19,6 +19,7 @@ each; a null id stays null; an empty table gives an empty result; further column
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm._scratch import materialize
 
-#: Texts that one call of the tokenizer takes, in characters.
-CALL_CHARS = 200_000
+#: Characters of the texts that are coded at once; bytes of known chunks in each of two generations.
+CALL_CHARS, KEPT_BYTES = 500_000, 70_000_000
+CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MIN_RANK_GROUP = 500
 
 
@@ -73,22 +76,53 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[tuple
     return made
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+class Coder:
+    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+    A byte-level pre-tokenizer always starts anew before white space that follows other characters,
+    so a text may be coded in such chunks.  Each chunk is coded by the tokenizer once and kept while
+    the worker's table has room; texts with other white space than ASCII's are coded in one go.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.room = KEPT_BYTES
+
+    def _code(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if self.room < 0:  # what was used since the last time stays one turn longer
+            self.known, self.before, self.room = {}, self.known, KEPT_BYTES
+        known, before = self.known, self.before
+        chunks = [[t] if OTHER_SPACE.search(t) else CHUNK.findall(t) for t in texts]
+        missing = {c for own in chunks for c in own if c not in known}
+        kept = [c for c in missing if c in before]
+        known.update(zip(kept, map(before.__getitem__, kept)))
+        new = list(missing.difference(kept))
+        known.update(zip(new, self._code(new)))
+        self.room -= sum(map(len, missing)) + 200 * len(missing)
+        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+
+
+@lru_cache(maxsize=2)
+def coder(path: str) -> Coder:
+    """One per Python worker."""
+    return Coder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
-        end = np.array([end_id], dtype="<u4")
+        made, end = coder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             rows, at = [], 0
@@ -98,12 +132,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
                     group.append(texts[upto].as_py() or "")
                     chars += len(group[-1])
                     upto += 1
-                for name, coded in zip(names[at:upto], tokenizer.encode_batch_fast(group, add_special_tokens=False)):
-                    ids = np.concatenate([np.array(coded.ids, dtype="<u4"), end])
-                    first = len(ids) % capacity or capacity
-                    starts = [0, *range(first, len(ids), capacity)]
-                    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
-                        rows.append((name, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                for name, ids in zip(names[at:upto], made.ids(group)):
+                    ids += end
+                    length = len(ids) // 4
+                    starts = [0, *range(length % capacity or capacity, length, capacity)]
+                    for k, (a, b) in enumerate(zip(starts, [*starts[1:], length])):
+                        rows.append((name, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
                 at = upto
             yield pa.RecordBatch.from_arrays(
                 [pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
