@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, fingerprints, near_dup, packing, pieces, pii, toxicity, url_trust
+from millrace.llm import chat, exact_dedup, fingerprints, gru_lm, near_dup, packing, pieces, pii, toxicity, url_trust
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
@@ -112,6 +116,7 @@ QUERIES: dict[str, Query] = {
         op5_near_dedup,
         op6_fingerprints,
         op7_exact_dedup,
+        op8_language_model,
         op9_chat_formatting,
         op10_personal_data,
     )
