@@ -3,11 +3,13 @@
 1. One pass over the texts makes, per document, its set of five-word shingle hashes, a key of that
    set, MinHash band keys and an odd sketch.  Documents with equal sets form a class; from here on
    one representative stands for each class, so copies are never expanded into pairs.
-2. Representatives that share a band bucket are candidates.  Each is first compared with the pivot
-   (least id) of the bucket whose odd sketch is nearest; links found there join most of every group
-   at a cost linear in its size.
+2. Representatives that share a band bucket are candidates.  In ``STAR_ROUNDS`` rounds each is
+   compared with one pivot of its buckets, the one whose odd sketch is nearest; links found there
+   join most of every group at a cost linear in its size.
 3. What remains is every pair that shares a bucket and is not yet in one component.  All of those
    whose sizes and odd sketches allow the threshold are compared, so no link is lost to step 2.
+   Here a second, longer odd sketch of the shingle set itself (for large sets, of the hashes below
+   a threshold) estimates the symmetric difference without the MinHash sampling error.
 4. Links are confirmed on the full shingle sets.  Components come from alternating large-star and
    small-star rounds.
 
@@ -24,7 +26,8 @@ empty table gives an empty result; further columns are ignored (kept by ``drop_n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp
+from functools import reduce
+from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,10 @@ WORDS = 5
 BANDS, ROWS = 24, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 256
+#: The long sketch, and the set size up to which it folds every shingle.
+FINE_BITS, FINE_SIZE = 2048, 1500
+STAR_ROUNDS = 3
+CELL_ROWS = 256
 #: Ids below this number are broadcast (8 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -106,6 +113,14 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """(level, parity bitmap): the hashes below 4**-level of the range, folded by their low bits."""
+    level = max(0, ceil(log(len(shingles) / FINE_SIZE, 4)))
+    kept = shingles[: np.searchsorted(shingles, np.uint64(_MASK >> (2 * level)), side="right")]
+    odd = np.bincount((kept % np.uint64(FINE_BITS)).astype(np.int64), minlength=FINE_BITS) & 1
+    return level, np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch_cut(threshold: float) -> int:
     """The most differing bits that a pair at ``threshold`` shows, five standard deviations above the mean."""
     flips = 2 * SAMPLES * (1 - threshold)
@@ -145,16 +160,20 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ``ids`` (column id); docs has doc_id and text."""
+    """(id, shingles, level, fine) of the documents in ``ids`` (column id); docs has doc_id and text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py()).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = [shingle_set(text.as_py()) for text in batch.column(1)]
+            folded = [fine_sketch(s) if len(s) else (0, np.zeros(FINE_BITS // 64, np.int64)) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x for x, _ in folded], pa.int32()), pa.array([y for _, y in folded], pa.list_(pa.int64()))],
+                names=["id", "shingles", "level", "fine"],
+            )
 
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = docs.join(small, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(make, "id long, shingles binary")
+    return chosen.mapInArrow(make, "id long, shingles binary, level int, fine array<long>")
 
 
 def _ends(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -210,14 +229,80 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _sketch_distance() -> Column:
-    return sum((F.bit_count(F.col("a_sketch")[k].bitwiseXOR(F.col("b_sketch")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+def _differing(a: str, b: str, bits: int) -> Column:
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(bits // 64)), F.lit(0))
 
 
 def _possible(threshold_percent: int) -> Column:
-    """What sizes and odd sketches allow."""
+    """What sizes and MinHash odd sketches allow."""
     sizes = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * threshold_percent
-    return sizes & (_sketch_distance() <= sketch_cut(threshold_percent / 100))
+    return sizes & (_differing("a_sketch", "b_sketch", SKETCH_BITS) <= sketch_cut(threshold_percent / 100))
+
+
+def _ones(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the rows of two arrays of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _fine_cut(size: np.ndarray, level: np.ndarray, t: float) -> np.ndarray:
+    """The bits that the largest symmetric difference at the threshold flips, and four and a half
+    standard deviations (collisions; for sampled sets also the sample).  size: of both sets together."""
+    n = FINE_BITS
+    flips = size * ((1 - t) / (1 + t)) * 0.25**level
+    stays = np.exp(-2 * flips / n)
+    return n / 2 * (1 - stays) + 4.5 * (np.sqrt(2 * flips * flips / n + np.where(level > 0, flips, 0)) * stays + 1)
+
+
+def cell_pairs(members: DataFrame, threshold_percent: int) -> DataFrame:
+    """(a, b), a > b: members of a cell in different components that sizes and sketches allow to link.
+
+    members: bucket, low, high, block, id, component, size, level, sketch, fine.  A cell (bucket,
+    low, high) holds one or two blocks of a bucket's members, some CELL_ROWS each, so that no task
+    holds a whole bucket; rows come sorted by cell, and only one cell is held at a time.
+    """
+    t = threshold_percent / 100
+    cut = sketch_cut(t)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(table: pa.Table) -> pa.RecordBatch:
+            bucket, low, high, block, name, component, size, level = (table.column(k).to_numpy() for k in range(8))
+            words = lambda k, n: table.column(k).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, n)
+            sketch, fine = words(8, SKETCH_BITS // 64), words(9, FINE_BITS // 64)
+            starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(bucket))))
+            after = np.append(starts[1:], len(bucket))[group] - np.arange(len(bucket)) - 1
+            out, at = [], 0
+            while at < len(bucket):  # some rows against all later ones of their cell
+                upto = max(at + 1, int(np.searchsorted(np.cumsum(after[at:]), 200_000)) + at)
+                x = np.repeat(np.arange(at, upto), after[at:upto])
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after[at:upto]) - after[at:upto], after[at:upto])
+                at = upto
+                ok = (component[x] != component[y]) & ((low[x] == high[x]) | (block[x] != block[y]))
+                ok &= np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * threshold_percent
+                x, y = x[ok], y[ok]
+                ok = _ones(sketch[x], sketch[y]) <= cut
+                x, y = x[ok], y[ok]
+                for k in range(0, len(x), 20_000):
+                    u, v = x[k : k + 20_000], y[k : k + 20_000]
+                    ok = (level[u] != level[v]) | (_ones(fine[u], fine[v]) <= _fine_cut(size[u] + size[v], level[u], t))
+                    out.append(np.stack([np.maximum(name[u[ok]], name[v[ok]]), np.minimum(name[u[ok]], name[v[ok]])]))
+            a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            last = [held.column(k)[-1].as_py() for k in range(3)]
+            same = np.logical_and.reduce([held.column(k).to_numpy() == v for k, v in enumerate(last)])
+            first = int(np.argmax(same))  # the last cell may go on in the next batch
+            if first:
+                yield found(held.slice(0, first))
+                held = held.slice(first)
+        if held is not None and held.num_rows:
+            yield found(held)
+
+    return members.mapInArrow(pairs, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,40 +318,48 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, id_col: str = "doc
         "classes",
     )
     in_bands = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = in_bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialize(in_bands.join(shared, "bucket"), "buckets")
-    faces = classes.select("id", "size", "sketch")
-
-    star = _ends(members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), faces, ["size", "sketch"])
-    nearest = (
-        star.where(_possible(threshold_percent))
-        .groupBy("a")
-        .agg(F.min_by("b", F.struct(_sketch_distance(), "b")).alias("b"))
-    )
-    tried = materialize(nearest, "star-pairs")
+    shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = materialize(in_bands.join(shared, "bucket").select("bucket", "id"), "buckets")
     member_ids = materialize(members.select("id").distinct(), "member-ids")
     sets = materialize(_shingles_of(texts, member_ids), "shingle-sets")
-    sets = sets.dropDuplicates(["id"]) if sets.count() > member_ids.count() else sets
-    links = materialize(confirmed(tried, sets, threshold_percent), "star-links")
-
-    so_far = components(links)
-    placed = (
-        members.select("bucket", "id")
-        .join(so_far, "id", "left")
-        .select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    faces = classes.select("id", "size", "sketch")
+
+    placed, tried, links, component_of = members.withColumn("component", F.col("id")), [], [], None
+    for turn in range(STAR_ROUNDS):
+        pivots = placed.groupBy("bucket").agg(
+            F.min_by(F.struct("id", "component"), F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        ).where("lo < hi")
+        spokes = placed.join(pivots, "bucket").where("component != p.component").select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
+        star = _ends(spokes, faces, ["size", "sketch"]).where(_possible(threshold_percent))
+        nearest = star.groupBy("a").agg(F.min_by("b", F.struct(_differing("a_sketch", "b_sketch", SKETCH_BITS), "b")).alias("b"))
+        tried.append(materialize(nearest, "star-pairs"))
+        links.append(materialize(confirmed(tried[-1], sets, threshold_percent), "star-links"))
+        component_of = components(reduce(DataFrame.unionByName, links))
+        placed = materialize(
+            members.join(component_of, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed"
+        )
+    open_buckets = (
+        placed.groupBy("bucket")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .where("lo < hi")
+        .select("bucket", F.ceil(F.col("n") / CELL_ROWS).alias("blocks"))
     )
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    still = materialize(placed.join(open_buckets, "bucket").join(faces, "id"), "open-buckets")
-    side = lambda end: still.select("bucket", *[F.col(c).alias(f"{end}_{c}") for c in ("id", "component", "size", "sketch")])
-    crossing = (
-        side("a")
-        .join(side("b"), "bucket")
-        .where((F.col("a_id") > F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & _possible(threshold_percent))
-        .select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-        .distinct()
+    block = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks"))
+    cells = (
+        placed.join(open_buckets, "bucket")
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component")
+        .join(faces, "id")
+        .join(sets.select("id", "level", "fine"), "id")
+        .select("bucket", "low", "high", "block", "id", "component", "size", "level", "sketch", "fine")
+        .repartition("bucket", "low", "high")
+        .sortWithinPartitions("bucket", "low", "high")
     )
-    rest = materialize(crossing.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    final = components(links.unionByName(confirmed(rest, sets, threshold_percent)))
+    crossing = cell_pairs(cells, threshold_percent)
+    done = reduce(DataFrame.unionByName, tried).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = materialize(crossing.join(done, ["a", "b"], "left_anti"), "cross-pairs")
+    final = components(reduce(DataFrame.unionByName, [*links, confirmed(rest, sets, threshold_percent)]))
 
     owner = classes.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

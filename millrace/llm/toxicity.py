@@ -138,20 +138,22 @@ class Vectoriser:
         for k, (term, _) in enumerate(terms):
             stem, _, level = term.rpartition(":")
             self.ids.setdefault(stem, []).append((int(level), k))
+        self.heads = {stem[:3].rstrip("*") for stem in self.ids}
         self.known: dict[str, tuple[str, ...]] = {}
 
     def _stems(self, word: str) -> tuple[str, ...]:
+        """The telling stems of a white-space delimited word, once for each time they occur in it."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        found = self.known[word] = tuple(s for s in stems(word) if s in self.ids)
+        found = self.known[word] = tuple(s for part in _WORD.findall(word) for s in stems(part) if s in self.ids)
         return found
 
     def terms(self, text: str) -> tuple[int, ...]:
         """The sorted term numbers of the text."""
-        words = _WORD.findall(text.lower())
-        known, hits = self.known, {}
-        for word in set(words):
-            if found := known.get(word, None) if word in known else self._stems(word):
+        words = text.lower().split()
+        known, heads, hits = self.known, self.heads, {}
+        for word in [w for w in set(words) if w[:3] in heads or not w.isalpha()]:
+            if found := known[word] if word in known else self._stems(word):
                 hits[word] = found
         if not hits:
             return ()

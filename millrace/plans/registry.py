@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from millrace.plans import relational_queries
+
 FLAGSHIP = "p7_recipe_nutrients"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES = {**relational_queries.QUERIES}
+ORACLE_SQL = {**relational_queries.SQL}
