@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._scratch import materialize
+from millrace.llm._scratch import materialize, tidy
 
 WORDS = 5
 BANDS, ROWS = 24, 6
@@ -155,7 +155,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        make, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+        tidy(make), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
     )
 
 
@@ -173,7 +173,7 @@ def _shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = docs.join(small, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(make, "id long, shingles binary, level int, fine array<long>")
+    return chosen.mapInArrow(tidy(make), "id long, shingles binary, level int, fine array<long>")
 
 
 def _ends(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -197,7 +197,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> Data
             kept = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             yield kept
 
-    return _ends(pairs, sets, ["shingles"]).select("a", "b", "a_shingles", "b_shingles").mapInArrow(check, "a long, b long")
+    return _ends(pairs, sets, ["shingles"]).select("a", "b", "a_shingles", "b_shingles").mapInArrow(tidy(check), "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -302,7 +302,7 @@ def cell_pairs(members: DataFrame, threshold_percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield found(held)
 
-    return members.mapInArrow(pairs, "a long, b long").distinct()
+    return members.mapInArrow(tidy(pairs), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._scratch import materialize
+from millrace.llm._scratch import materialize, tidy
 
 #: Characters of the texts that are coded at once; bytes of known chunks in each of two generations.
-CALL_CHARS, KEPT_BYTES = 500_000, 70_000_000
+CALL_CHARS, KEPT_BYTES = 500_000, 50_000_000
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MIN_RANK_GROUP = 500
@@ -143,9 +143,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
                 [pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        made.before = {}  # of what is known, one generation waits for the next task
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._scratch import tidy
+
 MARK = "▁"
 FIRST_BYTE = 3  # the piece of byte 0; the other bytes follow
 OFFSET = 10.0
@@ -262,7 +264,7 @@ def encode_sampled(docs: DataFrame, model_path: str, seed: int = 0, temperature:
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        encode, "doc_id long, text string, ids array<int>, ids_crc32 long, log_probability double"
+        tidy(encode), "doc_id long, text string, ids array<int>, ids_crc32 long, log_probability double"
     )
 
 
@@ -277,4 +279,4 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
             texts = pa.array([made.decode(ids.as_py()) if ids.is_valid else None for ids in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out_col])
 
-    return encoded.mapInArrow(spell, schema)
+    return encoded.mapInArrow(tidy(spell), schema)

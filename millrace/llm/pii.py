@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._scratch import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -247,7 +249,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+        tidy(scan), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     )
 
 
@@ -267,7 +269,7 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text", length_col: str
                 texts.append(masked(text, spans) if spans else text)
             yield batch.set_column(text_at, batch.schema.field(text_at), pa.array(texts, batch.schema.field(text_at).type))
 
-    done = docs.mapInArrow(mask, schema)
+    done = docs.mapInArrow(tidy(mask), schema)
     if length_col in docs.columns:
         done = done.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(schema[length_col].dataType))
     return done

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._scratch import materialize
+from millrace.llm._scratch import materialize, tidy
 
 MAX_EXAMPLES = 16_000
 MAX_TERMS = 20_000
@@ -83,7 +83,8 @@ def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(MAX_EXAMPLES)
     )
-    return docs.join(F.broadcast(marked), "doc_id").select("doc_id", "text", "toxic")
+    # rows that repeat an id are one example, so their number is bounded too
+    return docs.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def _term_table(examples: DataFrame) -> DataFrame:
@@ -101,11 +102,11 @@ def _term_table(examples: DataFrame) -> DataFrame:
                 for stem, n in term_counts(text.as_py() or "").items():
                     for term in levelled(stem, n):
                         seen[term, toxic] += 1
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     yield flush()
         yield flush()
 
-    counted = examples.select("text", "toxic").mapInArrow(count, "term string, toxic int, n long")
+    counted = examples.select("text", "toxic").mapInArrow(tidy(count), "term string, toxic int, n long")
     return counted.groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("in_toxic"),
         F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("in_clean"),
@@ -187,32 +188,34 @@ class BlockMaxIndex:
         self.most = self.most.reshape(len(idf), blocks)
         self.blocks = blocks
 
+    def _similar(self, t: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(example numbers, similarities) of the examples in ``blocks`` that share a term."""
+        key = (t[:, None] * self.blocks + blocks).ravel()
+        start, size = self.cuts[key], self.cuts[key + 1] - self.cuts[key]
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        weight = np.repeat(np.repeat(q, len(blocks)), size) * self.weight[at]
+        shift = np.tile((np.arange(len(blocks)) - blocks) * BLOCK, len(t))
+        total = np.bincount(self.owner[at] + np.repeat(shift, size), weight, len(blocks) * BLOCK)
+        hit = np.flatnonzero(total)
+        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, total[hit]
+
     def nearest(self, terms: tuple[int, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, similarities), nearest first; ties by the smaller id."""
         t = np.array(terms)
         q = self.idf[t] / np.sqrt((self.idf[t] ** 2).sum())
         bound = q @ self.most[t] + 1e-6
         order = np.argsort(-bound, kind="stable")
-        found, sims, kth = np.empty(0, np.int64), np.empty(0), -1.0
-        at = 0
-        while at < self.blocks and bound[order[at]] > 1e-6 and bound[order[at]] >= kth:
-            group = order[at : at + 8]
-            at += 8
-            total = np.zeros(BLOCK * len(group))
-            for slot, block in enumerate(group):
-                for w, a, b in zip(q, self.cuts[t * self.blocks + block], self.cuts[t * self.blocks + block + 1]):
-                    if a < b:
-                        total[slot * BLOCK + self.owner[a:b] - block * BLOCK] += w * self.weight[a:b]
-            hit = np.flatnonzero(total)
-            found = np.concatenate([found, group[hit // BLOCK] * BLOCK + hit % BLOCK])
-            sims = np.concatenate([sims, total[hit]])
-            if len(found) > k:
-                best = np.lexsort((self.names[found], -sims))[:k]
-                found, sims = found[best], sims[best]
+        order = order[: np.searchsorted(-bound[order], -1e-6)]
+        found, sims, kth, at, step = np.empty(0, np.int64), np.empty(0), -1.0, 0, 8
+        while at < len(order) and bound[order[at]] >= kth:
+            more, near = self._similar(t, q, order[at : at + step])
+            at, step = at + step, 2 * step  # few reads where the bounds are loose
+            found, sims = np.concatenate([found, more]), np.concatenate([sims, near])
+            best = np.lexsort((self.names[found], -sims))[:k]
+            found, sims = found[best], sims[best]
             if len(found) >= k:
-                kth = sims.min()
-        best = np.lexsort((self.names[found], -sims))[:k]
-        return found[best], sims[best]
+                kth = sims[-1]
+        return found, sims
 
 
 class Judge:
@@ -222,7 +225,7 @@ class Judge:
         self.vectoriser = Vectoriser(model["terms"])
         self.index = BlockMaxIndex(self.vectoriser.idf, model["vectors"], model["labels"], model["names"])
         self.blank, self.prior = model["blank"], model["prior"]
-        self.votes = lru_cache(maxsize=50_000)(self._vote)
+        self.votes = lru_cache(maxsize=20_000)(self._vote)
 
     def _vote(self, terms: tuple[int, ...]) -> tuple[float, list[int]]:
         found, sims = self.index.nearest(terms, NEIGHBOURS)
@@ -252,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
     # at most MAX_EXAMPLES short rows
-    rows = examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>").collect()
+    rows = examples.mapInArrow(tidy(vectors), "doc_id long, toxic int, terms array<int>").collect()
     blank = [r["toxic"] == 1 for r in rows if not r["terms"]]
     there = [r for r in rows if r["terms"]]
     prior = toxic / total
@@ -278,7 +281,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             scores = pa.array([s for s, _ in out], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores, pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
-    return texts.mapInArrow(judge, "doc_id long, score double, evidence array<long>").select(
+    return texts.mapInArrow(tidy(judge), "doc_id long, score double, evidence array<long>").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence"
     )
 
@@ -295,4 +298,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             keep = [made.score(text.as_py() or "")[0] < THRESHOLD for text in batch.column(text_at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)
