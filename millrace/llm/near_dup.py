@@ -245,12 +245,16 @@ def _ones(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _fine_cut(size: np.ndarray, level: np.ndarray, t: float) -> np.ndarray:
-    """The bits that the largest symmetric difference at the threshold flips, and four and a half
-    standard deviations (collisions; for sampled sets also the sample).  size: of both sets together."""
+    """The most differing bits of a pair at the threshold.  size: of both sets together.
+
+    Each element of the symmetric difference flips one bit, so where every shingle was folded its
+    size is a bound that loses nothing.  For sampled sets: the mean and four and a half standard
+    deviations of sample and collisions."""
     n = FINE_BITS
     flips = size * ((1 - t) / (1 + t)) * 0.25**level
     stays = np.exp(-2 * flips / n)
-    return n / 2 * (1 - stays) + 4.5 * (np.sqrt(2 * flips * flips / n + np.where(level > 0, flips, 0)) * stays + 1)
+    sampled = n / 2 * (1 - stays) + 4.5 * (np.sqrt(2 * flips * flips / n + flips) * stays + 1)
+    return np.where(level == 0, flips + 1e-6, sampled)
 
 
 def cell_pairs(members: DataFrame, threshold_percent: int) -> DataFrame:
