@@ -66,6 +66,8 @@ _ADDRESS = re.compile(
     re.I,
 )
 _AT_HINT = re.compile(rf"[\[({{<]\s*(?:at|@|{_DOT}|\.)\s*[\])}}>]|\s{_DOT}\s", re.I)
+#: With ``_AT_HINT``, every text that ``_ADDRESS`` matches and the base patterns do not.
+_LOOSE_AT = re.compile(r"\s@|@\s")
 _SIGNS = re.compile(rf"(?P<dot>{_DOT_SIGN})|(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|\s+at\s+|\s*@\s*)", re.I)
 _DOTTED_HINT = re.compile(rf"[0-9]{{1,3}}(?:{_DOT_SIGN}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 
@@ -189,7 +191,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     if m:
         _lookalikes(m)
     now = m.text if m else text
-    if _AT_HINT.search(now):
+    if _AT_HINT.search(now) or ("@" in now and _LOOSE_AT.search(now)):
         m = m or Mapped(text)
         _signs(m)
         now = m.text

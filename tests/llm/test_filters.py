@@ -59,6 +59,15 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert (kind, part) in [(pii.KINDS[k], text[a:b]) for k, a, b in spans]
 
 
+@pytest.mark.parametrize("at", [" @ ", "@ ", " @", " at ", "[at]", " (at) ", "<@>", "{ @ }"])
+@pytest.mark.parametrize("dot", [".", " dot ", "[dot]", " (.) ", " punkt "])
+def test_each_address_form_is_found_alone(at, dot):
+    part = f"john{at}example{dot}com"
+    text = f"mail {part} now"
+    found = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find_personal_data(text)[1]]
+    assert found == ([] if (at, dot) == (" at ", ".") else [("email", part)])
+
+
 def test_prose_is_left_alone():
     assert pii.find_personal_data("look at example.com, one two three, at nine dot")[1] == []
 
