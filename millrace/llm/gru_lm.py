@@ -12,8 +12,8 @@ Counts: every task counts its words, sums are made by word over all training doc
 chunk of documents gets the counts of its own words back, so no vocabulary is ever in one place.
 Training: complete documents run in parallel lanes, windows of ``WINDOW`` tokens with truncated
 backpropagation, the state carried from window to window and reset between documents.  Every
-task trains a replica on its part of ``TRAIN_SHARE`` of the training documents; after each round
-replicas are averaged by weight.  Output biases start from the exact counts.
+task trains a replica on its part of the training documents; each document is in one of ``ROUNDS``
+rounds, and after each round replicas are averaged by weight.  Output biases start from the exact counts.
 Scoring: whole documents in lanes, state carried across all windows.
 
 Defined results: null text is empty (its end is its one token); a null id is in training; repeated
@@ -41,7 +41,7 @@ HIDDEN = 24
 WINDOW, SCORE_WINDOW, LANES = 16, 64, 192
 #: Tokens that run in lanes together.
 TOGETHER = 1_500_000
-ROUNDS, TRAIN_SHARE, MAX_REPLICAS = 2, 0.25, 128
+ROUNDS, MAX_REPLICAS = 2, 128
 RATE, CLIP = 0.2, 1.0
 CHUNK_BYTES = 6_000_000
 LOG10 = np.log(10.0)
@@ -351,6 +351,12 @@ def _together(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
         yield np.concatenate(symbols), np.concatenate(sizes)
 
 
+def in_round(chunk: int, training: list[bool], turn: int) -> np.ndarray:
+    """Which documents of a chunk round ``turn`` trains on; over all rounds, each training document once."""
+    drawn = np.random.default_rng([chunk, 5]).random(len(training))
+    return np.array(training, bool) & (np.floor(drawn * ROUNDS) == turn)
+
+
 def _train(coded: DataFrame, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Rounds of local training and averaging over replicas."""
     sc = coded.sparkSession.sparkContext
@@ -365,8 +371,7 @@ def _train(coded: DataFrame, start: dict[str, np.ndarray]) -> dict[str, np.ndarr
                 for batch in batches:
                     for row in batch.to_pylist():
                         sizes = np.array(row["sizes"], np.int64)
-                        draw = np.random.default_rng([row["chunk"], 5]).random(len(sizes))
-                        mine = np.array(row["training"], bool) & (draw < TRAIN_SHARE) & (np.floor(draw / TRAIN_SHARE * ROUNDS) == turn)
+                        mine = in_round(row["chunk"], row["training"], turn)
                         if mine.any():
                             yield np.frombuffer(row["symbols"], np.uint16)[np.repeat(mine, sizes)], sizes[mine]
 

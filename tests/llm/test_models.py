@@ -70,6 +70,17 @@ def test_language_model_beats_its_base_on_held_out(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_language_model_trains_on_every_training_document():
+    training = [k % 7 != 2 for k in range(1000)]
+    rounds = [gru_lm.in_round(3, training, turn) for turn in range(gru_lm.ROUNDS)]
+    assert np.sum(rounds, axis=0).tolist() == training and all(r.any() for r in rounds)
+
+
+def test_language_model_beats_its_base_on_few_documents(spark):
+    rows = [r for r in QUERIES["op8_language_model"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
 def test_language_model_edge_cases(spark):
     docs = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "a b")], "doc_id long, text string")
     assert gru_lm.score_documents(docs).count() == 4
