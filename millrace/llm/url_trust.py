@@ -3,10 +3,9 @@
 Rules are (host, path prefix) pairs; the longest that fits a url decides.  For the rest, two
 personalised PageRanks run over the host graph: trust flows along links from hosts by the share of
 their pages that rules allow, distrust flows against links from hosts by the share that rules
-block.  A host is blocked when its distrust reaches ``threshold`` and exceeds its trust.
-
-Hosts without links keep their seed: the restart vector is not normalised, so a host that rules
-block altogether has distrust 1 before anything flows, and scores stay comparable at any size.
+block.  A host is blocked when distrust is at least ``threshold`` of its trust and distrust together
+and exceeds its trust.  Both ranks weigh a host's own seed alike, with links or without, and go on
+until each rank holds relative to itself, so how many hosts share a link's vote does not matter.
 Pages and links are summed per host on the map side; only host tables take part in the iteration.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is
@@ -16,6 +15,7 @@ lead to the own host carry no vote; an empty table gives an empty result; furthe
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -63,24 +63,28 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
 
 
 def personalised_rank(
-    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6
+    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, settle: bool = False
 ) -> DataFrame:
     """(host, rank): the fixed point of ``rank = (1-d) * seed + d * inflow``; hosts that nobody
     links to keep their seed.  seeds: (host, seed); edges: (src, dst, links).
 
     Stops when no rank moves by more than ``tolerance`` or after ``rounds``; each round is written
     to the shared scratch folder, so that neither the plan nor a lost executor's work grows.
+
+    With ``settle`` the formula holds for hosts that nobody links to as well, and rounds go on, as
+    many as it takes, until no rank moves by more than ``tolerance`` times itself.
     """
     out_links = edges.groupBy("src").agg(F.sum("links").alias("out_links"))
     weights = materialize(
         edges.join(out_links, "src").select("src", "dst", (F.col("links") / F.col("out_links")).alias("share")), "edges"
     )
     linked = weights.select(F.col("dst").alias("host")).distinct().withColumn("linked", F.lit(True))
-    base = materialize(seeds.join(linked, "host", "left").select("host", "seed", F.coalesce("linked", F.lit(False)).alias("linked")), "seeds")
-    rank = base.select("host", F.col("seed").alias("rank"))
+    base = materialize(seeds.join(linked, "host", "left").select("host", "seed", F.coalesce("linked", F.lit(settle)).alias("linked")), "seeds")
+    # with settle, ranks grow from below: a host that no seed reaches stays at exactly 0
+    rank = base.select("host", ((1 - damping) * F.col("seed") if settle else F.col("seed")).alias("rank"))
     if weights.isEmpty():
         return rank
-    for _ in range(rounds):
+    for _ in itertools.count() if settle else range(rounds):
         inflow = (
             weights.join(rank, F.col("src") == F.col("host"))
             .groupBy("dst")
@@ -98,7 +102,8 @@ def personalised_rank(
             )
         )
         moved = materialize(moved, "rank")
-        step = moved.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        change = F.abs(F.col("rank") - F.col("old"))
+        step = moved.agg(F.max(F.when(F.col("rank") > 0, change / F.col("rank")) if settle else change)).first()[0]
         rank = moved.select("host", "rank")
         if step is None or step <= tolerance:
             break
@@ -128,13 +133,13 @@ def judge_urls(
         on_page.join(ends, "host", "full_outer").select("host", F.coalesce("allowed", F.lit(0.0)).alias("allowed"), F.coalesce("blocked", F.lit(0.0)).alias("blocked")),
         "hosts",
     )
-    trust = personalised_rank(hosts.select("host", F.col("allowed").alias("seed")), edges)
+    trust = personalised_rank(hosts.select("host", F.col("allowed").alias("seed")), edges, settle=True)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = personalised_rank(hosts.select("host", F.col("blocked").alias("seed")), against)
+    distrust = personalised_rank(hosts.select("host", F.col("blocked").alias("seed")), against, settle=True)
     judged = (
         trust.withColumnRenamed("rank", "trust")
         .join(distrust.withColumnRenamed("rank", "distrust"), "host")
-        .withColumn("host_verdict", F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow"))
+        .withColumn("host_verdict", F.when((F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow"))
     )
     return (
         seen.drop("html")

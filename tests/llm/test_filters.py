@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import chat, pii, url_trust
 from millrace.llm.queries import QUERIES, URL_RULES
@@ -128,6 +129,38 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert {r["page_id"]: r["verdict"] for r in url_trust.judge_urls(pages, URL_RULES).collect()} == {1: "block", 2: "block", 3: "allow"}
 
 
+@pytest.mark.parametrize("linkers", [2, 10])
+def test_distrust_reaches_each_of_several_linkers(spark, linkers):
+    html = '<a href="http://bad.net/1">x</a>'
+    urls = [("http://bad.net/", None), ("http://fine.io/", None), *[(f"http://farm{k}.io/", html) for k in range(linkers)]]
+    pages = spark.createDataFrame([(k, *u) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    found = [r["verdict"] for r in url_trust.judge_urls(pages, URL_RULES).orderBy("page_id").collect()]
+    assert found == ["block", "allow", *["block"] * linkers]
+
+
+def test_a_link_to_a_clean_host_does_not_weaken_the_own_seed(spark):
+    html = '<a href="http://fine.io/">x</a>'
+    pages = spark.createDataFrame(
+        [(1, "http://example.com/de/a", html), (2, "http://example.com/de/b", None), (3, "http://example.com/de/c", None), (4, "http://example.com/x", None), (5, "http://fine.io/", None)],
+        "page_id long, url string, html string",
+    )
+    rows = {r["page_id"]: r for r in url_trust.judge_urls(pages, URL_RULES).collect()}
+    assert [rows[k]["verdict"] for k in range(1, 6)] == ["block"] * 4 + ["allow"]
+    alone = {r["page_id"]: r for r in url_trust.judge_urls(pages.withColumn("html", F.lit(None).cast("string")), URL_RULES).collect()}
+    assert rows[4]["distrust"] == pytest.approx(alone[4]["distrust"])
+
+
+def test_rank_settles_relative_to_itself(spark):
+    edges = {(a, b): 1 for a, b in ["ab", "ba", "bc", "cd"]}
+    seed = {"a": 1e-9, "b": 0.0, "c": 0.0, "d": 0.0, "e": 0.5}
+    found = url_trust.personalised_rank(
+        spark.createDataFrame(list(seed.items()), "host string, seed double"), spark.createDataFrame([(s, d, n) for (s, d), n in edges.items()], "src string, dst string, links long"), settle=True
+    )
+    a = 0.15e-9 / (1 - 0.85**2 / 2)
+    want = {"a": a, "b": 0.85 * a, "c": 0.85**2 * a / 2, "d": 0.85**3 * a / 2, "e": 0.075}
+    assert {r["host"]: r["rank"] for r in found.collect()} == pytest.approx(want, rel=1e-5, abs=0)
+
+
 def test_chat_rotates_every_speaker(spark):
     turns = spark.createDataFrame(
         [(1, 0, "system", "s", 0), (1, 1, "ann", "hi <|im_end|>", 0), (1, 2, "bob", None, 0), (1, 2, None, "?", 0), (None, 1, "eve", "x", 0)],
