@@ -161,6 +161,22 @@ def w5_cumulative_share(spark, sf_dir):
     return counts.withColumn("cumulative", F.sum("n").over(order))
 
 
+def w5_cumulative_share_all(spark, sf_dir):
+    """Cumulative percentage over all sources.  Ranges of 65,536 ids with the same n are summed first;
+    one window runs over these totals, the others inside the ranges."""
+    counts = recipe_lines(spark, sf_dir).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.floor(F.col("source_id") / 65536))
+    cells = counts.groupBy("n", "cell").agg(F.sum("n").alias("size"))
+    before = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("n").alias("of_n"), F.col("cell").alias("of_cell"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy(F.lit(1))).alias("total"))
+    inside = Window.partitionBy("n", "cell").orderBy("source_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cumulative = F.col("start") + F.sum("n").over(inside)
+    return (
+        counts.join(cells, (F.col("n") == F.col("of_n")) & F.col("cell").eqNullSafe(F.col("of_cell")))
+        .withColumn("cumulative", cumulative)
+        .select("source_id", "n", "cumulative", F.round(100 * F.col("cumulative") / F.col("total"), 6).alias("percent"))
+    )
+
+
 def w7_match_margin(spark, sf_dir):
     ranked = rel.with_margin(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], "o_totalprice")
     return ranked.where("rank = 1").select("o_custkey", "o_orderkey", F.round("margin", 4).alias("margin"))
@@ -292,6 +308,10 @@ SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PART
     "w5_cumulative_share": """
 WITH c AS (SELECT l_suppkey AS source_id, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, source_id LIMIT 50)
 SELECT source_id, n, sum(n) OVER (ORDER BY n DESC, source_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cumulative FROM c""",
+    "w5_cumulative_share_all": """
+WITH c AS (SELECT l_suppkey AS source_id, count(*) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT *, sum(n) OVER (ORDER BY n DESC, source_id ROWS UNBOUNDED PRECEDING) AS cumulative FROM c)
+SELECT source_id, n, cumulative::BIGINT AS cumulative, round(100 * cumulative / sum(n) OVER (), 6) AS percent FROM r""",
     "w7_match_margin": """
 WITH r AS (SELECT *, row_number() OVER w AS r, o_totalprice - coalesce(lead(o_totalprice) OVER w, 0) AS margin FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))
 SELECT o_custkey, o_orderkey, round(margin, 4) AS margin FROM r WHERE r = 1""",

@@ -19,6 +19,13 @@ def test_query_equals_sql(spark, con, name):
     same(QUERIES[name](spark, SF_DIR), con, ORACLE_SQL[name])
 
 
+def test_cumulative_share_keeps_every_source(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    same(QUERIES["w5_cumulative_share_all"](spark, sf_dir), connection(sf_dir), ORACLE_SQL["w5_cumulative_share_all"])
+    rows = QUERIES["w5_cumulative_share_all"](spark, sf_dir).collect()
+    assert len(rows) > 50 and max(r["percent"] for r in rows) == 100
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLE_SQL) <= set(entry.oracle_sql())
