@@ -53,11 +53,18 @@ DIGIT_WORDS = {
 
 _ODD = re.compile(f"[{re.escape(''.join(LOOKALIKES))}{INVISIBLE}！-～٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: Runs of spelled or written digits with one separator between them.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:\+|plus[\s-])?(?:{_WORD}|[0-9])(?:[\s,.-]{{1,2}}(?:{_WORD}|[0-9](?![0-9])))+(?![^\W_])", re.I)
-_TOKEN = re.compile(rf"{_WORD}|[0-9]|\+|plus|dot|point|punkt|punto|\.", re.I)
 _DOT = r"(?:dot|point|punkt|punto)"
 _DOT_SIGN = rf"(?:\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*|\s+{_DOT}\s+)"
+_JOINED = rf"(?:{_WORD}|[0-9]{{1,3}}(?![0-9]))"
+#: Runs of spelled or written digits with one separator or one dot word between them.  Beside dots,
+#: digits may stand together as in the parts of an address.
+_SPELLED = re.compile(
+    rf"(?<![^\W_])(?:\+|plus[\s-])?(?:{_WORD}|[0-9](?:[0-9]{{1,2}}(?={_DOT_SIGN}))?)"
+    rf"(?:[\s,.-]{{1,2}}(?:{_WORD}|[0-9](?![0-9])|[0-9]{{2,3}}(?={_DOT_SIGN}))|{_DOT_SIGN}{_JOINED})+(?![^\W_])",
+    re.I,
+)
+_TOKEN = re.compile(rf"{_WORD}|[0-9]|\+|plus|{_DOT}|\.", re.I)
+_DOT_WORDS = {"dot", "point", "punkt", "punto"}
 #: A disguised address: local part, at sign in some form, labels joined by dots in some form.
 _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:{_DOT_SIGN}[A-Za-z0-9_%+-]+)*+"
@@ -173,11 +180,11 @@ def _spelled(m: Mapped) -> None:
     edits = []
     for run in _SPELLED.finditer(m.text):
         tokens = list(_TOKEN.finditer(m.text, *run.span()))
-        words = sum(t[0].lower() in DIGIT_WORDS for t in tokens)
-        if words < 4 or words + sum(t[0].isdigit() for t in tokens) < 7:
+        if not any(t[0].lower() in DIGIT_WORDS for t in tokens):
             continue
         for k, t in enumerate(tokens):
-            new = "+" if t[0].lower() == "plus" else DIGIT_WORDS.get(t[0].lower(), t[0])
+            word = t[0].lower()
+            new = "+" if word == "plus" else "." if word in _DOT_WORDS else DIGIT_WORDS.get(word, t[0])
             edits.append((t.start(), t.end(), new))
             if k + 1 < len(tokens) and t.end() < tokens[k + 1].start():
                 edits.append((t.end(), tokens[k + 1].start(), ""))

@@ -69,6 +69,28 @@ def test_each_address_form_is_found_alone(at, dot):
     assert found == ([] if (at, dot) == (" at ", ".") else [("email", part)])
 
 
+@pytest.mark.parametrize(
+    ("kind", "part"),
+    [
+        ("phone", "plus four nine 1 5 1 2 3 4 5 6 7 8"),
+        ("phone", "+4 9 1 5 one 2 3 4 5 6"),
+        ("ip", "one two seven dot zero dot zero dot one"),
+        ("ip", "one two seven (dot) zero [.] zero punkt eins"),
+        ("ip", "192 dot 168 dot one dot 1"),
+        ("ip", "zero dot 168 dot one dot 1"),
+        ("card", "four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
+    ],
+)
+def test_any_digit_word_and_dot_words_join_a_run(kind, part):
+    text = f"it is {part} now"
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find_personal_data(text)[1]] == [(kind, part)]
+
+
+@pytest.mark.parametrize("text", ["one point five of seven dot nine", "one. two. three, four", "plus one two", "three hundred dot nine zero zero dot one dot one", "two dot five six seven dot one dot one"])
+def test_spelled_runs_that_no_detector_takes_are_left_alone(text):
+    assert pii.find_personal_data(text)[1] == []
+
+
 def test_prose_is_left_alone():
     assert pii.find_personal_data("look at example.com, one two three, at nine dot")[1] == []
 
