@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
     """(node, ancestor, depth) with every node at depth 0 and the least depth kept.
 
-    Each round joins the frontier with the edges; it stops when nothing new appears.
+    Each round joins the frontier with the edges; it stops when nothing new appears, and
+    raises if there are ancestors deeper than ``max_depth``.
     """
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
     reached = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     frontier = reached
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 2):
         frontier = (
             frontier.select("node", F.col("ancestor").alias("child"))
             .join(edges, "child")
@@ -25,6 +26,8 @@ def closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
         )
         if frontier.isEmpty():
             break
+        if depth > max_depth:
+            raise ValueError(f"ancestors deeper than max_depth={max_depth}")
         reached = reached.unionByName(frontier)
     return reached
 

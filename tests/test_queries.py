@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from millrace.operators import hierarchy
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import connection, same
 
@@ -26,6 +27,13 @@ def test_cumulative_share_keeps_every_source(spark):
     assert len(rows) > 50 and max(r["percent"] for r in rows) == 100
 
 
+def test_closure_raises_beyond_its_depth(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "child long, parent long")
+    assert hierarchy.closure(edges, max_depth=3).count() == 10
+    with pytest.raises(ValueError, match="max_depth=2"):
+        hierarchy.closure(edges, max_depth=2)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLE_SQL) <= set(entry.oracle_sql())
