@@ -8,42 +8,52 @@ ones their share of the class's training count.  The last class is shared as the
 would: weight two for each word seen once, one for all unseen words together.  So model and base
 spread their probability over the same events, the V training types and one unseen type.
 
-Counts: every task counts its words, sums are made by word over all training documents, and each
-chunk of documents gets the counts of its own words back, so no vocabulary is ever in one place.
-Training: complete documents run in parallel lanes, windows of ``WINDOW`` tokens with truncated
-backpropagation, the state carried from window to window and reset between documents.  Every
-task trains a replica on its part of the training documents; each document is in one of ``ROUNDS``
-rounds, and after each round replicas are averaged by weight.  Output biases start from the exact counts.
+Counts: each chunk of documents counts its distinct words, as 64-bit hashes (two of a billion words
+share one with a chance of some 3 %, which would mix their counts).  Ranges of the hash, as many as the number of
+words needs, are summed over all chunks, and each chunk gets the counts of its own words back packed, so no
+vocabulary is ever in one place.
+Training: on every training document, each in one of ``ROUNDS`` rounds.  Documents are dealt to replicas
+by a hash of their text, ``REPLICA_TOKENS`` to each, however many it takes; so the model does not
+depend on how the input is partitioned.  They run in parallel lanes, windows of ``WINDOW`` tokens with
+truncated backpropagation, the state carried from window to window and reset between documents.
+After each round replicas are averaged by weight.  Output biases start from the exact counts.
 Scoring: whole documents in lanes, state carried across all windows.
 
 Defined results: null text is empty (its end is its one token); a null id is in training; repeated
-rows are scored alike; without training documents every count is 0; an empty table gives an empty
-result; further columns are ignored.
+rows are scored alike; of words with equal counts the lesser hash is the more frequent; a text of
+any length is scored whole (its steps follow each other, so time grows with the longest text of a
+task); without training documents every count is 0; an empty table gives an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._scratch import materialize, tidy
+from millrace.llm._scratch import discard, materialize, tidy
 
 TOP_WORDS, CLASS_SIZE = 4096, 64
 TAIL_CLASSES = 64
 HIDDEN = 24
-WINDOW, SCORE_WINDOW, LANES = 16, 64, 192
+WINDOW, SCORE_WINDOW, LANES = 16, 32, 384
+#: States whose outputs are computed at once.
+BLOCK = 1024
 #: Tokens that run in lanes together.
 TOGETHER = 1_500_000
-ROUNDS, MAX_REPLICAS = 2, 128
+ROUNDS = 2
 RATE, CLIP = 0.2, 1.0
-CHUNK_BYTES = 6_000_000
+#: Tokens of a chunk, distinct words of chunks in a shard, tokens that a replica trains on, and
+#: replicas that are averaged at once.
+CHUNK_WORDS, SHARD_WORDS, REPLICA_TOKENS, FAN_IN = 1_000_000, 2_000_000, 4_000_000, 32
 LOG10 = np.log(10.0)
 
 TOP_CLASSES = TOP_WORDS // CLASS_SIZE
@@ -74,10 +84,10 @@ def first_parameters(class_log: np.ndarray, word_log: np.ndarray) -> dict[str, n
     made = lambda *shape: (rng.standard_normal(shape) * 0.15).astype(np.float32)
     return {
         "embedding": made(SYMBOLS, HIDDEN),
-        "input": made(HIDDEN, 3 * HIDDEN),
-        "recurrent": made(HIDDEN, 3 * HIDDEN),
+        "input": made(3 * HIDDEN, HIDDEN),
+        "recurrent": made(3 * HIDDEN, HIDDEN),
         "gate_bias": np.zeros(3 * HIDDEN, np.float32),
-        "class_weight": made(HIDDEN, CLASSES) * np.float32(0.1),
+        "class_weight": made(CLASSES, HIDDEN) * np.float32(0.1),
         "class_bias": class_log.astype(np.float32),
         "word_weight": made(TOP_WORDS, HIDDEN) * np.float32(0.1),
         "word_bias": word_log.astype(np.float32),
@@ -85,17 +95,35 @@ def first_parameters(class_log: np.ndarray, word_log: np.ndarray) -> dict[str, n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+def _log_softmax_at(weight: np.ndarray, bias: np.ndarray, x: np.ndarray, k: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-softmax at row k of each column, exponentials, their sums) of ``weight @ x + bias``.
+
+    States lie between -1 and 1, so weights and biases bound the logits: where the bounds are near
+    each other one shift serves all columns, else each is shifted by its own maximum.
+    """
+    reach = np.abs(weight).sum(axis=1)
+    high, low = float((bias + reach).max()), float((bias - reach).max())
+    y = weight @ x
+    if high - low < 60:
+        y += (bias - np.float32(high))[:, None]
+    else:
+        y += bias[:, None]
+        y -= y.max(axis=0)
+    at = y[k, columns]
+    np.exp(y, out=y)
+    total = y.sum(axis=0)
+    return at - np.log(total), y, total
 
 
 class Gru:
-    """Forward and backward over one window of lanes."""
+    """Forward and backward over one window of lanes.  Features are rows, lanes are columns."""
 
     def __init__(self, parameters: dict[str, np.ndarray]) -> None:
         """parameters: the weights and, under ``seen.`` and their name, the squared gradients so far."""
@@ -106,98 +134,137 @@ class Gru:
         """What a further round needs."""
         return self.p | {f"seen.{k}": v for k, v in self.seen.items()}
 
+    def _outputs(self, flat: np.ndarray, goal: np.ndarray, grad: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probabilities of ``goal``, gradient by ``flat``) for states ordered by class; fills ``grad``."""
+        p, n = self.p, len(goal)
+        kind = np.where(goal < TOP_WORDS, goal // CLASS_SIZE, goal - TOP_WORDS + TOP_CLASSES)
+        found, d_flat = np.empty(n, np.float32), np.empty_like(flat)
+        columns = np.arange(n)
+        for a in range(0, n, BLOCK):  # blocks stay in the processor's cache
+            x, k = flat[:, a : a + BLOCK], kind[a : a + BLOCK]
+            found[a : a + BLOCK], y, total = _log_softmax_at(p["class_weight"], p["class_bias"], x, k, columns[: len(k)])
+            if grad is not None:
+                y /= total
+                y[k, columns[: len(k)]] -= 1
+                d_flat[:, a : a + BLOCK] = p["class_weight"].T @ y
+                grad["class_weight"] += y @ x.T
+                grad["class_bias"] += y.sum(axis=1)
+        cuts = np.searchsorted(kind, np.arange(TOP_CLASSES + 1))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own, words = slice(cuts[c], cuts[c + 1]), slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
+            x, weight, k = flat[:, own], p["word_weight"][words], goal[own] - c * CLASS_SIZE
+            log_share, y, total = _log_softmax_at(weight, p["word_bias"][words], x, k, columns[: len(k)])
+            found[own] += log_share
+            if grad is not None:
+                y /= total
+                y[k, columns[: len(k)]] -= 1
+                d_flat[:, own] += weight.T @ y
+                grad["word_weight"][words] = y @ x.T
+                grad["word_bias"][words] = y.sum(axis=1)
+        return found, d_flat
+
     def window(self, h: np.ndarray, read: np.ndarray, target: np.ndarray, fresh: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(state after the window, log-probabilities of the targets).
+        """(state after the window, log-probabilities of the targets that are live, row by row).
 
-        read, target: symbols (steps, lanes), -1 where a lane has ended; fresh: where a document
-        begins.  With ``train``, one step of Adagrad follows.
+        h: (HIDDEN, lanes); read, target: symbols (steps, lanes), target -1 where a lane has ended;
+        fresh: where a document begins.  With ``train``, one step of Adagrad follows.
         """
+        h, log_probability, grad = self.forward(h, read, target, fresh, train)
+        if grad is not None:
+            self._descend(grad)
+        return h, log_probability
+
+    def forward(self, h: np.ndarray, read: np.ndarray, target: np.ndarray, fresh: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray] | None]:
+        """As ``window``, with the gradients of minus the sum of the log-probabilities in place of a step."""
         p, H = self.p, HIDDEN
         steps, lanes = read.shape
-        live = target >= 0
-        x = p["embedding"][np.maximum(read, 0)]
-        gates = x.reshape(-1, H) @ p["input"] + p["gate_bias"]
-        gates = gates.reshape(steps, lanes, 3 * H)
-        states = np.empty((steps, lanes, H), np.float32)
+        x = p["embedding"][read.ravel()]
+        gates = p["input"] @ x.T
+        gates += p["gate_bias"][:, None]
+        states = np.empty((H, steps * lanes), np.float32)
+        starts = fresh.any(axis=1)
         kept = []
         for t in range(steps):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            u = h @ p["recurrent"]
-            zr = _sigmoid(gates[t, :, : 2 * H] + u[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(gates[t, :, 2 * H :] + r * u[:, 2 * H :])
-            new = n + z * (h - n)
-            if train:
-                kept.append((h, z, r, n, u[:, 2 * H :]))
-            h = states[t] = new
-        flat, goal = states[live], target[live]
-        kind = np.where(goal < TOP_WORDS, goal // CLASS_SIZE, goal - TOP_WORDS + TOP_CLASSES)
-        by_class = _softmax(flat @ p["class_weight"] + p["class_bias"])
-        log_probability = np.log(by_class[np.arange(len(goal)), kind])
-        if not train and len(goal) <= 256:
-            own = np.flatnonzero(kind < TOP_CLASSES)
-            weight = p["word_weight"].reshape(TOP_CLASSES, CLASS_SIZE, H)[kind[own]]
-            share = _softmax(np.einsum("nch,nh->nc", weight, flat[own]) + p["word_bias"].reshape(TOP_CLASSES, CLASS_SIZE)[kind[own]])
-            log_probability[own] += np.log(share[np.arange(len(own)), goal[own] % CLASS_SIZE])
-            return h, log_probability
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(TOP_CLASSES + 1))
-        if train:
-            d_flat = np.zeros_like(flat)
-            d_word, d_word_bias = np.zeros_like(p["word_weight"]), np.zeros_like(p["word_bias"])
-        for c in range(TOP_CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if not len(own):
-                continue
-            words = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-            share = _softmax(flat[own] @ p["word_weight"][words].T + p["word_bias"][words])
-            at = goal[own] - c * CLASS_SIZE
-            log_probability[own] += np.log(share[np.arange(len(own)), at])
+            if starts[t]:
+                h = np.where(fresh[t], np.float32(0), h)
+            now = slice(t * lanes, (t + 1) * lanes)
+            u = p["recurrent"] @ h
+            zr = u[: 2 * H]
+            zr += gates[: 2 * H, now]
+            z, r, un = _sigmoid(zr)[:H], zr[H:], u[2 * H :]
+            n = r * un
+            n += gates[2 * H :, now]
+            np.tanh(n, out=n)
+            new = h - n
+            new *= z
+            new += n
+            states[:, now] = new
             if train:
-                share[np.arange(len(own)), at] -= 1
-                d_word[words] = share.T @ flat[own]
-                d_word_bias[words] = share.sum(axis=0)
-                d_flat[own] = share @ p["word_weight"][words]
-        if train and len(goal):
-            by_class[np.arange(len(goal)), kind] -= 1
-            d_flat += by_class @ p["class_weight"].T
-            grad = {"class_weight": flat.T @ by_class, "class_bias": by_class.sum(axis=0), "word_weight": d_word, "word_bias": d_word_bias}
+                kept.append((h, z, r, n, un))
+            h = new
+        live = np.flatnonzero(target.ravel() >= 0)
+        goal = target.ravel()[live]
+        order = np.argsort(goal.astype(np.uint16), kind="stable")
+        grad = {k: np.zeros_like(v) for k, v in p.items() if k.startswith(("class", "word"))} if train and len(goal) else None
+        found, d_sorted = self._outputs(states[:, live[order]], goal[order], grad)
+        log_probability = np.empty_like(found)
+        log_probability[order] = found
+        if grad is not None:
             d_states = np.zeros_like(states)
-            d_states[live] = d_flat
-            d_gates = np.empty_like(gates)
-            d_recurrent = np.zeros_like(p["recurrent"])
-            d_h = np.zeros((lanes, H), np.float32)
-            for t in range(steps - 1, -1, -1):
-                before, z, r, n, un = kept[t]
-                d_h = d_h + d_states[t]
-                d_n = d_h * (1 - z) * (1 - n * n)
-                d_u = np.empty((lanes, 3 * H), np.float32)
-                d_u[:, :H] = d_h * (before - n) * z * (1 - z)
-                d_u[:, H : 2 * H] = d_n * un * r * (1 - r)
-                d_u[:, 2 * H :] = d_n * r
-                d_gates[t, :, : 2 * H] = d_u[:, : 2 * H]
-                d_gates[t, :, 2 * H :] = d_n
-                d_recurrent += before.T @ d_u
-                d_h = d_h * z + d_u @ p["recurrent"].T
-                if fresh[t].any():
-                    d_h[fresh[t]] = 0
-            d_flat_gates = d_gates.reshape(-1, 3 * H)
-            grad |= {"recurrent": d_recurrent, "gate_bias": d_flat_gates.sum(axis=0), "input": x.reshape(-1, H).T @ d_flat_gates}
-            d_x = d_flat_gates @ p["input"].T
-            symbols = np.maximum(read, 0).ravel()
-            by = np.argsort(symbols, kind="stable")
-            starts = np.flatnonzero(np.concatenate([[True], np.diff(symbols[by]) > 0]))
-            grad["embedding"] = np.zeros_like(p["embedding"])
-            grad["embedding"][symbols[by[starts]]] = np.add.reduceat(d_x[by], starts, axis=0)
-            # windows in which few lanes still run move the weights little
-            scale = np.float32(1 / (WINDOW * LANES) ** 0.5)
-            for k, g in grad.items():
-                g *= scale
-                np.clip(g, -CLIP, CLIP, out=g)
-                self.seen[k] += g * g
-                p[k] -= np.float32(RATE) * g / np.sqrt(self.seen[k])
-        return h, log_probability
+            d_states[:, live[order]] = d_sorted
+            grad |= self._back(d_states, kept, x, read, fresh)
+        return h, log_probability, grad
+
+    def _back(self, d_states: np.ndarray, kept: list, x: np.ndarray, read: np.ndarray, fresh: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients through the steps of the window."""
+        p, H = self.p, HIDDEN
+        steps, lanes = read.shape
+        d_gates = np.empty((3 * H, steps * lanes), np.float32)
+        d_recurrent = np.zeros_like(p["recurrent"])
+        back = np.ascontiguousarray(p["recurrent"].T)
+        d_u = np.empty((3 * H, lanes), np.float32)
+        d_z, d_r, d_un = d_u[:H], d_u[H : 2 * H], d_u[2 * H :]
+        d_h = np.zeros((H, lanes), np.float32)
+        for t in range(steps - 1, -1, -1):
+            before, z, r, n, un = kept[t]
+            now = slice(t * lanes, (t + 1) * lanes)
+            d_h += d_states[:, now]
+            np.multiply(d_h, z, out=d_z)  # what reaches the state before directly
+            d_n = d_h - d_z
+            d_h = d_z.copy()
+            d_z *= before - n
+            d_z *= 1 - z
+            d_n *= 1 - n * n
+            np.multiply(d_n, r, out=d_un)
+            np.multiply(d_un, un, out=d_r)
+            d_r *= 1 - r
+            d_gates[: 2 * H, now] = d_u[: 2 * H]
+            d_gates[2 * H :, now] = d_n
+            d_recurrent += d_u @ before.T
+            d_h += back @ d_u
+            if fresh[t].any():
+                d_h[:, fresh[t]] = 0
+        d_x = d_gates.T @ p["input"]
+        symbols = read.ravel().astype(np.uint16)
+        by = np.argsort(symbols, kind="stable")
+        first = np.flatnonzero(np.diff(symbols[by].astype(np.int32), prepend=-1))
+        embedding = np.zeros_like(p["embedding"])
+        embedding[symbols[by[first]]] = np.add.reduceat(d_x[by], first, axis=0)
+        return {"recurrent": d_recurrent, "gate_bias": d_gates.sum(axis=1), "input": d_gates @ x, "embedding": embedding}
+
+    def _descend(self, grad: dict[str, np.ndarray]) -> None:
+        # windows in which few lanes still run move the weights little
+        scale = np.float32(1 / (WINDOW * LANES) ** 0.5)
+        for k, g in grad.items():
+            g *= scale
+            np.clip(g, -CLIP, CLIP, out=g)
+            seen = self.seen[k]
+            step = g * g
+            seen += step
+            np.sqrt(seen, out=step)
+            np.divide(g, step, out=g)
+            g *= np.float32(RATE)
+            self.p[k] -= g
 
 
 def run_documents(net: Gru, symbols: np.ndarray, sizes: np.ndarray, train: bool) -> np.ndarray:
@@ -218,7 +285,7 @@ def run_documents(net: Gru, symbols: np.ndarray, sizes: np.ndarray, train: bool)
     where = np.concatenate([np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in lane]) for lane in lanes])
     lane_start = np.cumsum(filled) - filled
     total = np.zeros(len(sizes))
-    h = np.zeros((len(lanes), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, len(lanes)), np.float32)
     window = WINDOW if train else SCORE_WINDOW
     for at in range(0, int(filled.max()), window):
         active = int((filled > at).sum())
@@ -230,7 +297,7 @@ def run_documents(net: Gru, symbols: np.ndarray, sizes: np.ndarray, train: bool)
         fresh = (token == starts[document]) & live
         target = np.where(live, symbols[token].astype(np.int64), -1)
         read = np.where(fresh, END_SYMBOL, symbols[np.maximum(token - 1, 0)].astype(np.int64))
-        h, log_probability = net.window(h[:active], read, target, fresh, train)
+        h, log_probability = net.window(h[:, :active], read, target, fresh, train)
         total += np.bincount(document[live], log_probability, minlength=len(sizes))
     return total
 
@@ -238,103 +305,208 @@ def run_documents(net: Gru, symbols: np.ndarray, sizes: np.ndarray, train: bool)
 # ---- the Spark side -----------------------------------------------------------------------------
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: high bytes are mostly zero."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, dtype: type, n: int) -> np.ndarray:
+    """The inverse of ``packed`` for n numbers."""
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd"), np.uint8) if n else np.empty(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(dtype)
+
+
+class _Numbers(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-_CHUNKS = "chunk long, word binary, number int, n long, doc_ids array<long>, training array<boolean>, sizes array<int>, tokens binary"
+_CHUNKS = pa.schema(
+    [("chunk", pa.int64()), ("n_words", pa.int64()), ("hashes", pa.binary()), ("tails", pa.binary()), ("seen", pa.binary()), ("n_tokens", pa.int64())]
+    + [("tokens", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))]
+)
+_CHUNKS_DDL = "chunk long, n_words long, hashes binary, tails binary, seen binary, n_tokens long, tokens binary, doc_ids array<long>, training array<boolean>, sizes array<int>, keys array<long>"
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
-    """Per chunk of consecutive rows: one row per distinct word with its number in the chunk and its
-    training count, and one row with the documents as such numbers."""
+    """One row per chunk of consecutive documents: its distinct words as 64-bit hashes with tail class
+    and training count, and its documents as numbers of those words."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, index = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])
-
-        def made(ids, training, sizes, tokens, numbers):
-            name = (part << 24) | index
-            words = list(numbers)
-            seen = np.zeros(len(words), np.int64)
-            for many, is_training in zip(tokens, training):
-                if is_training:
-                    seen += np.bincount(many, minlength=len(words))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(words), pa.int64()), pa.array(words, pa.binary()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(seen), *[pa.nulls(len(words), schema.field(k).type) for k in range(4, 8)]], schema=schema
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([training], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([np.concatenate(tokens).tobytes() if tokens else b""], pa.binary())],
-                schema=schema,
-            )
-
-        ids, training, sizes, tokens, held, numbers = [], [], [], [], 0, {}
+
+        def made() -> pa.RecordBatch:
+            words, every = list(numbers), np.concatenate(tokens)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            tails = np.fromiter((tail_class(w) - TOP_CLASSES for w in words), np.uint8, len(words))
+            seen = np.bincount(every[np.repeat(training, sizes)], minlength=len(words)).astype(np.uint64)
+            row = [(part << 24) | index, len(words), hashes.tobytes(), tails.tobytes(), packed(seen), len(every), packed(every), ids, training, sizes, keys]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _CHUNKS.types)], schema=_CHUNKS)
+
+        ids, training, sizes, tokens, keys, held, numbers = [], [], [], [], [], 0, _Numbers()
         for batch in batches:
             for name, text, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = _words(text.as_py())
-                for w in set(words).difference(numbers):
-                    numbers[w] = len(numbers)
-                coded = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
                 ids.append(name)
                 training.append(not out)
                 sizes.append(len(words))
-                tokens.append(coded)
-                held += 8 * len(words)
-                if held > CHUNK_BYTES:
-                    yield from made(ids, training, sizes, tokens, numbers)
+                tokens.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+                keys.append(xxhash.xxh3_64_intdigest(text.as_py() or "", len(words)) - (1 << 63))
+                held += len(words)
+                if held > CHUNK_WORDS:
+                    yield made()
                     index += 1
-                    ids, training, sizes, tokens, held, numbers = [], [], [], [], 0, {}
+                    ids, training, sizes, tokens, keys, held, numbers = [], [], [], [], [], 0, _Numbers()
         if ids:
-            yield from made(ids, training, sizes, tokens, numbers)
+            yield made()
+
+    return docs.mapInArrow(tidy(code), _CHUNKS_DDL)
+
+
+_SHARDS_DDL = "shard long, chunk long, n_words long, hashes binary, tails binary, seen binary"
+_COUNTED_DDL = "shard long, chunk long, n_words long, counts binary, top_at binary, top_hashes binary, top_counts binary, types long, tokens long, hapax long, tails array<long>"
+
+
+def _shards(chunks: DataFrame, shards: int) -> DataFrame:
+    """The words of each chunk by range of their hash, sorted inside each."""
+    width = -(-(1 << 64) // shards)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, n, hashes, tails, seen in zip(*(batch.column(k) for k in range(5))):
+                n = n.as_py()
+                hashes = np.frombuffer(hashes.as_py(), np.uint64)
+                order = np.argsort(hashes)
+                hashes, tails, seen = hashes[order], np.frombuffer(tails.as_py(), np.uint8)[order], unpacked(seen.as_py(), np.uint64, n)[order]
+                cuts = [*np.searchsorted(hashes, np.array([k * width for k in range(shards)], np.uint64)).tolist(), n]
+                rows = [(k, chunk.as_py(), b - a, hashes[a:b].tobytes(), packed(tails[a:b]), packed(seen[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["shard", "chunk", "n_words", "hashes", "tails", "seen"])
+
+    return chunks.select("chunk", "n_words", "hashes", "tails", "seen").mapInArrow(tidy(deal), _SHARDS_DDL)
+
+
+def _counted(shards: DataFrame, n_shards: int) -> DataFrame:
+    """Per chunk and shard the training counts of the chunk's words; per shard a row without chunk
+    that holds what the model needs of it: its most frequent words, types, tokens, words seen once
+    and the counts of each tail class."""
+    listed = int(TOP_WORDS / n_shards + 6 * (TOP_WORDS / n_shards) ** 0.5 + 64)
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        sizes = [r["n_words"] for r in rows]
+        hashes, at = np.unique(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([unpacked(r["seen"], np.uint64, n) for r, n in zip(rows, sizes)]), len(hashes)).astype(np.int64)
+        tails = np.empty(len(hashes), np.uint8)
+        tails[at] = np.concatenate([unpacked(r["tails"], np.uint8, n) for r, n in zip(rows, sizes)])
+        top = np.lexsort((hashes, -c))[:listed]
+        top = np.sort(top[c[top] > 1])
+        is_top = np.zeros(len(hashes), bool)
+        is_top[top] = True
+        out, begin = [], 0
+        for r, n in zip(rows, sizes):
+            own = at[begin : begin + n]
+            begin += n
+            mine = np.flatnonzero(is_top[own]).astype(np.uint32)
+            out.append((r["shard"], r["chunk"], n, packed(c[own]), mine.tobytes(), hashes[own[mine]].tobytes(), None, None, None, None, None))
+        per_tail = np.bincount(tails, np.where(c > 1, c, 0), TAIL_CLASSES).astype(np.int64).tolist()
+        # tail counts of the listed words leave with those that become top words
+        stats = (int((c > 0).sum()), int(c.sum()), int((c == 1).sum()), per_tail)
+        out.append((rows[0]["shard"], None, len(top), packed(tails[top]), None, hashes[top].tobytes(), c[top].tobytes(), *stats))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(col, t) for col, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in _COUNTED_DDL.split(", ")])
+
+    return shards.groupBy("shard").applyInArrow(merge, _COUNTED_DDL)
+
+
+def _statistics(chunks: DataFrame, counted: DataFrame) -> dict:
+    """What the model takes from all counts; of bounded size."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, tails, hashes, c in zip(*(batch.column(k) for k in range(4))):
+                n = n.as_py()
+                columns = [pa.array(np.frombuffer(hashes.as_py(), np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64)), pa.array(unpacked(tails.as_py(), np.uint8, n).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "c", "tail"])
 
-    return docs.mapInArrow(tidy(code), _CHUNKS)
+    by_shard = counted.where("chunk is null")
+    N, V, hapax = (x or 0 for x in by_shard.agg(F.sum("tokens"), F.sum("types"), F.sum("hapax")).first())
+    tail_totals = np.zeros(TAIL_CLASSES)
+    for r in by_shard.select(F.posexplode("tails")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        tail_totals[r["pos"]] = r["n"]
+    n_docs = chunks.agg(F.sum(F.size(F.filter("training", lambda x: x)))).first()[0] or 0
+    lists = by_shard.select("n_words", "counts", "top_hashes", "top_counts").mapInArrow(tidy(listed), "hash long, c long, tail long")
+    frequent = lists.orderBy(F.desc("c"), "hash").limit(TOP_WORDS).collect()
+    for r in frequent:
+        tail_totals[r["tail"]] -= r["c"]
+    top_counts = np.zeros(TOP_WORDS)
+    top_counts[: len(frequent)] = [r["c"] for r in frequent]
+    per_class = top_counts.reshape(TOP_CLASSES, CLASS_SIZE)
+    totals = np.concatenate([per_class.sum(axis=1), tail_totals, [hapax], [n_docs]]) + 0.5
+    inside = (per_class + 1e-3) / (per_class + 1e-3).sum(axis=1, keepdims=True)
+    return {
+        "N": N + n_docs, "V": V + (n_docs > 0), "n_docs": n_docs, "tops": np.array([r["hash"] for r in frequent], np.int64).view(np.uint64),
+        "tail_totals": np.maximum(tail_totals, 1), "hapax": hapax, "class_log": np.log(totals / totals.sum()), "word_log": np.log(inside).ravel(),
+    }
 
 
-_CODED = "chunk long, doc_ids array<long>, training array<boolean>, sizes array<int>, symbols binary, fixed array<double>, base array<double>, known array<long>"
+_CODED_DDL = "doc_id long, training boolean, replica long, turn long, key long, size long, symbols binary, fixed double, base double, known long"
 
 
-def _coded(chunks: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
-    """Per chunk: symbols of every document, what of its score is fixed, its base score and known words."""
+def _coded(chunks: DataFrame, counted: DataFrame, model: dict, replicas: int) -> DataFrame:
+    """Per document: its symbols, what of its score is fixed, its base score and known words, and the
+    replica and round that train on it, which depend on its text alone."""
     N, V, n_docs, hapax = (model[k] for k in ("N", "V", "n_docs", "hapax"))
     shared = chunks.sparkSession.sparkContext.broadcast((model["tops"], model["tail_totals"]))
 
     def code(key, left: pa.Table, right: pa.Table) -> pa.Table:
         tops, tail_totals = shared.value
-        words = right.column("word").to_pylist()
-        c = right.column("c").to_numpy().astype(np.float64)
-        number = right.column("number").to_numpy()
-        size = len(words)
-        symbol, fixed = np.empty(size, np.int64), np.zeros(size)
-        symbol[c <= 1] = TOP_WORDS + TAIL_CLASSES
-        fixed[c <= 1] = np.log((c[c <= 1] + 1) / (2 * hapax + 1))
-        for k in np.flatnonzero(c > 1).tolist():
-            top = tops.get(words[k])
-            if top is None:
-                own = tail_class(words[k])
-                symbol[k], fixed[k] = TOP_WORDS + own - TOP_CLASSES, np.log(c[k] / tail_totals[own - TOP_CLASSES])
-            else:
-                symbol[k] = top
-        by_number = np.empty(size, np.int64)
-        by_number[number] = np.arange(size)
+        order_of_tops = np.argsort(tops)
+        sorted_tops = tops[order_of_tops]
         out = []
         for row in left.to_pylist():
-            tokens = by_number[np.frombuffer(row["tokens"], np.int32)]
-            sizes = np.array(row["sizes"], np.int64)
+            size = row["n_words"]
+            hashes, tails = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["tails"], np.uint8)
+            by, c, at = np.argsort(hashes), np.empty(size, np.int64), 0
+            symbol = TOP_WORDS + tails.astype(np.int64)
+            for part in sorted(right.to_pylist(), key=lambda r: r["shard"]):
+                n = part["n_words"]
+                c[by[at : at + n]] = unpacked(part["counts"], np.int64, n)
+                at += n
+            fixed = np.where(c <= 1, np.log((c + 1) / (2 * hapax + 1)), np.log(np.maximum(c, 1) / tail_totals[tails]))
+            symbol[c <= 1] = TOP_WORDS + TAIL_CLASSES
+            if len(tops):
+                at = np.minimum(np.searchsorted(sorted_tops, hashes), len(tops) - 1)
+                is_top = sorted_tops[at] == hashes
+                symbol[is_top], fixed[is_top] = order_of_tops[at[is_top]], 0
+            tokens, sizes = unpacked(row["tokens"], np.uint32, row["n_tokens"]), np.array(row["sizes"], np.int64)
             document = np.repeat(np.arange(len(sizes)), sizes)
-            total = lambda values: np.bincount(document, values, minlength=len(sizes))  # noqa: E731, B023
+            total = lambda values: np.bincount(document, values[tokens], len(sizes))  # noqa: E731, B023
             one = np.log10(N + V + 1.0)
-            base = total(np.log10(c + 1)[tokens] - one) + np.log10(n_docs + 1) - one
-            known = total((c > 0).astype(float)[tokens]).astype(np.int64) + int(n_docs > 0)
-            ends = np.cumsum(sizes) + np.arange(len(sizes))
-            symbols = np.full(len(tokens) + len(sizes), END_SYMBOL, np.uint16)
-            symbols[np.setdiff1d(np.arange(len(symbols)), ends, assume_unique=True)] = symbol[tokens]
-            out.append((row["chunk"], row["doc_ids"], row["training"], (sizes + 1).tolist(), symbols.tobytes(), total(fixed[tokens]).tolist(), base.tolist(), known.tolist()))
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(col, t) for col, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=[x.split()[0] for x in _CODED.split(", ")])
-
-    documents = chunks.where("word is null").select("chunk", "doc_ids", "training", "sizes", "tokens")
-    words = chunks.where("word is not null").select(F.col("chunk").alias("of"), "word", "number").join(counts, "word", "left").select("of", "word", "number", F.coalesce("c", F.lit(0)).alias("c"))
-    return documents.groupBy("chunk").cogroup(words.groupBy("of")).applyInArrow(code, _CODED)
+            base = total(np.log10(c + 1.0) - one) + np.log10(n_docs + 1) - one
+            known = total((c > 0).astype(float)).astype(np.int64) + int(n_docs > 0)
+            coded = symbol.astype(np.uint16)[tokens]
+            cuts = np.cumsum(sizes)
+            symbols = [np.append(coded[b - n : b], np.uint16(END_SYMBOL)).tobytes() for b, n in zip(cuts.tolist(), sizes.tolist())]
+            mixed = np.array(row["keys"], np.int64).view(np.uint64)
+            replica, turn = (mixed % np.uint64(replicas)).astype(np.int64), (mixed // np.uint64(replicas) % np.uint64(ROUNDS)).astype(np.int64)
+            columns = (row["doc_ids"], row["training"], replica, turn, row["keys"], sizes + 1, symbols, total(fixed), base, known)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64())
+            out.append(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=[x.split()[0] for x in _CODED_DDL.split(", ")]))
+        return pa.concat_tables(out)
+
+    documents = chunks.select("chunk", "n_words", "hashes", "tails", "n_tokens", "tokens", "doc_ids", "training", "sizes", "keys")
+    counts = counted.where("chunk is not null").select(F.col("chunk").alias("of"), "shard", "n_words", "counts")
+    return documents.groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(code, _CODED_DDL)
 
 
 def _together(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -351,109 +523,96 @@ def _together(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
         yield np.concatenate(symbols), np.concatenate(sizes)
 
 
-def in_round(chunk: int, training: list[bool], turn: int) -> np.ndarray:
-    """Which documents of a chunk round ``turn`` trains on; over all rounds, each training document once."""
-    drawn = np.random.default_rng([chunk, 5]).random(len(training))
-    return np.array(training, bool) & (np.floor(drawn * ROUNDS) == turn)
+def _documents(symbols: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(symbols.to_pylist()), np.uint16), sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _mean(parts: DataFrame, replicas: int) -> DataFrame:
+    """(name, data): parameters averaged by weight, FAN_IN replicas at a time, so that no task holds more."""
 
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("replica")
+        weight = float(rows["weight"].sum())
+        total = np.zeros(len(rows["data"].iloc[0]) // 4)
+        for data, w in zip(rows["data"], rows["weight"]):
+            total += np.frombuffer(data, np.float32) * (w / weight)
+        return pd.DataFrame({"name": rows["name"][:1], "replica": rows["replica"][:1] // FAN_IN, "data": [total.astype(np.float32).tobytes()], "weight": [weight]})
 
-def _train(coded: DataFrame, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    while replicas > 1:
+        parts = parts.groupBy("name", F.floor(F.col("replica") / FAN_IN).alias("group")).applyInPandas(mean, "name string, replica long, data binary, weight double")
+        replicas = -(-replicas // FAN_IN)
+    return parts.select("name", "data")
+
+
+def _train(coded: DataFrame, start: dict[str, np.ndarray], replicas: int) -> dict[str, np.ndarray]:
     """Rounds of local training and averaging over replicas."""
     sc = coded.sparkSession.sparkContext
-    now, replicas = Gru(start).all(), min(MAX_REPLICAS, max(1, coded.rdd.getNumPartitions()))
+    now = Gru(start).all()
     for turn in range(ROUNDS):
         given = sc.broadcast(now)
 
-        def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, given=given) -> Iterator[pa.RecordBatch]:
-            net, weight = Gru(given.value), 0
+        def learn(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            net, replica, weight = None, None, 0
 
-            def chosen() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for batch in batches:
-                    for row in batch.to_pylist():
-                        sizes = np.array(row["sizes"], np.int64)
-                        mine = in_round(row["chunk"], row["training"], turn)
-                        if mine.any():
-                            yield np.frombuffer(row["symbols"], np.uint16)[np.repeat(mine, sizes)], sizes[mine]
-
-            for symbols, sizes in _together(chosen()):
-                run_documents(net, symbols, sizes, train=True)
-                weight += len(symbols)
-            if weight:
+            def result() -> pa.RecordBatch:
                 out = net.all()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary()), pa.array([weight] * len(out), pa.int64())], names=["name", "data", "weight"]
-                )
-
-        def mean(rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(d, np.float32).astype(np.float64) * w for d, w in zip(rows["data"], rows["weight"]))
-            return pd.DataFrame({"name": rows["name"][:1], "data": [(total / rows["weight"].sum()).astype(np.float32).tobytes()]})
+                columns = [pa.array(list(out)), pa.array([replica] * len(out), pa.int64()), pa.array([v.tobytes() for v in out.values()], pa.binary()), pa.array([float(weight)] * len(out))]
+                return pa.RecordBatch.from_arrays(columns, names=["name", "replica", "data", "weight"])
 
-        parts = coded.select("chunk", "training", "sizes", "symbols").coalesce(replicas).mapInArrow(tidy(learn), "name string, data binary, weight long")
+            def runs() -> Iterator[tuple[int, pa.RecordBatch]]:
+                for batch in batches:
+                    own = batch.column(0).to_numpy()
+                    cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+                    for a, b in zip(cuts, cuts[1:]):
+                        if a < b:
+                            yield int(own[a]), batch.slice(a, b - a)
+
+            for replica, mine in itertools.groupby(runs(), key=lambda x: x[0]):  # rows come sorted by replica
+                net, weight = Gru(given.value), 0
+                for symbols, sizes in _together(_documents(b.column(1), b.column(2)) for _, b in mine):
+                    run_documents(net, symbols, sizes, train=True)
+                    weight += len(symbols)
+                yield result()
+
+        mine = coded.where((F.col("turn") == turn) & F.col("training")).select("replica", "symbols", "size", "key")
+        dealt = mine.repartitionById(replicas, F.col("replica").cast("int")).sortWithinPartitions("replica", "key").select("replica", "symbols", "size")
+        parts = dealt.mapInArrow(tidy(learn), "name string, replica long, data binary, weight double")
         # one row per parameter array comes to the driver: the size of the model
-        means = {r["name"]: np.frombuffer(r["data"], np.float32) for r in parts.groupBy("name").applyInPandas(mean, "name string, data binary").collect()}
+        means = {r["name"]: np.frombuffer(r["data"], np.float32) for r in _mean(parts, replicas).collect()}
         now = {k: means[k].reshape(v.shape) if k in means else v for k, v in now.items()}
     return {k: v for k, v in now.items() if not k.startswith("seen.")}
 
 
-def _statistics(chunks: DataFrame, counts: DataFrame) -> dict:
-    """What the model takes from all counts; of bounded size."""
-    N, V, hapax = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first())
-    n_docs = chunks.where("word is null").agg(F.sum(F.size(F.filter("training", lambda x: x)))).first()[0] or 0
-    frequent = counts.where("c > 1").orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()
-    tops = {bytes(r["word"]): k for k, r in enumerate(frequent)}
-
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: Counter = Counter()
-        for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for k in np.flatnonzero(c > 1).tolist():
-                if words[k] not in tops:
-                    totals[tail_class(words[k]) - TOP_CLASSES] += int(c[k])
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["tail", "n"])
-
-    tail_totals = np.zeros(TAIL_CLASSES)
-    for r in counts.mapInArrow(tidy(tails), "tail long, n long").groupBy("tail").agg(F.sum("n").alias("n")).collect():
-        tail_totals[r["tail"]] = r["n"]
-    top_counts = np.zeros(TOP_WORDS)
-    top_counts[: len(frequent)] = [r["c"] for r in frequent]
-    per_class = top_counts.reshape(TOP_CLASSES, CLASS_SIZE)
-    totals = np.concatenate([per_class.sum(axis=1), tail_totals, [hapax], [n_docs]]) + 0.5
-    inside = (per_class + 1e-3) / (per_class + 1e-3).sum(axis=1, keepdims=True)
-    return {
-        "N": N + n_docs, "V": V + (n_docs > 0), "n_docs": n_docs, "tops": tops, "tail_totals": np.maximum(tail_totals, 1),
-        "hapax": hapax, "class_log": np.log(totals / totals.sum()), "word_log": np.log(inside).ravel(),
-    }
-
-
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     chunks = materialize(_chunked(texts), "chunks")
-    counts = materialize(chunks.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    model = _statistics(chunks, counts)
-    coded = materialize(_coded(chunks, counts, model), "coded")
-    net = sc.broadcast(_train(coded, first_parameters(model["class_log"], model["word_log"])))
+    words, tokens = (x or 0 for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens")).first())
+    n_shards, replicas = max(1, -(-words // SHARD_WORDS)), max(1, round(tokens / REPLICA_TOKENS))
+    counted = materialize(_counted(_shards(chunks, n_shards), n_shards), "counted")
+    model = _statistics(chunks, counted)
+    coded = materialize(_coded(chunks, counted, model, replicas), "coded")
+    discard(chunks)
+    discard(counted)
+    net = sc.broadcast(_train(coded, first_parameters(model["class_log"], model["word_log"]), replicas))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, rows = Gru(net.value), []
+        made, waiting = Gru(net.value), []
 
         def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    if row["sizes"]:
-                        rows.append(row)
-                        yield np.frombuffer(row["symbols"], np.uint16), np.array(row["sizes"], np.int64)
+                if len(batch):
+                    waiting.append(batch.drop_columns(["symbols"]))
+                    yield _documents(batch.column(3), batch.column(2))
 
         for symbols, sizes in _together(each()):
-            found = (run_documents(made, symbols, sizes, train=False) + np.concatenate([r["fixed"] for r in rows])) / LOG10
-            flat = lambda k: [x for r in rows for x in r[k]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat("doc_ids"), pa.int64()), pa.array([not x for x in flat("training")]), pa.array(sizes), pa.array(flat("known"), pa.int64()), pa.array(flat("base")), pa.array(found)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
-            rows.clear()
-
-    return coded.drop("chunk").mapInArrow(tidy(score), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").select(
+            rows = pa.Table.from_batches(waiting)
+            waiting.clear()
+            found = (run_documents(made, symbols, sizes, train=False) + rows.column("fixed").to_numpy()) / LOG10
+            yield from rows.drop_columns(["fixed"]).append_column("score", pa.array(found)).combine_chunks().to_batches()
+
+    scored = coded.select("doc_id", (~F.col("training")).alias("held_out"), F.col("size").alias("n_tokens"), "symbols", "fixed", F.col("known").alias("n_known"), F.col("base").alias("base_score"))
+    return scored.mapInArrow(tidy(score), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["N"])).cast("long").alias("train_tokens"), "base_score", "score"
     )
