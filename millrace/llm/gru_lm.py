@@ -1,6 +1,6 @@
 """Language-model scores from a gated recurrent network in numpy, beside an add-one unigram base.
 
-Tokens are the ASCII-lower-cased words of a text and one end.  The network reads and predicts
+Tokens are the ASCII-lower-cased words of a text and one end.  Its gates squash by softsign.  It reads and predicts
 *symbols*: the ``TOP_WORDS`` most frequent training words, a class for each group of rarer words
 that begin alike, one for words that training saw once or never, and the end.  The output is
 factored: a softmax over classes, then for frequent words a softmax inside their class, for rarer
@@ -69,10 +69,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tail_class(word: bytes) -> int:
-    """Rarer words that begin alike share a class."""
-    head = word[:2].ljust(2)
-    return TOP_CLASSES + (head[0] * 31 + head[1] * 7) % TAIL_CLASSES
+def tail_classes(words: list[bytes]) -> np.ndarray:
+    """Rarer words that begin alike share a class, numbered from 0."""
+    heads = np.array(words, "S2").view(np.uint8).reshape(-1, 2).astype(np.int64)
+    return ((heads[:, 0] * 31 + heads[:, 1] * 7) % TAIL_CLASSES).astype(np.uint8)
 
 
 # ---- the network --------------------------------------------------------------------------------
@@ -94,32 +94,67 @@ def first_parameters(class_log: np.ndarray, word_log: np.ndarray) -> dict[str, n
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _softsign(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place: the gates' squashing function, at a fifth of the cost of tanh."""
+    size = np.abs(x)
+    size += 1
+    return np.divide(x, size, out=x)
 
 
-def _log_softmax_at(weight: np.ndarray, bias: np.ndarray, x: np.ndarray, k: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log-softmax at row k of each column, exponentials, their sums) of ``weight @ x + bias``.
+def _slope(squashed: np.ndarray) -> np.ndarray:
+    """The derivative of softsign where its value is ``squashed``."""
+    out = np.abs(squashed)
+    np.subtract(1, out, out=out)
+    return np.square(out, out=out)
 
-    States lie between -1 and 1, so weights and biases bound the logits: where the bounds are near
-    each other one shift serves all columns, else each is shifted by its own maximum.
+
+#: Of a float's bits seen as an integer: one unit of the exponent, and the exponent of 1.
+_UNIT, _ONE = np.float32(1 << 23), np.int32(127 << 23)
+
+
+def _near_exp(y: np.ndarray) -> np.ndarray:
+    """exp(y) within one percent, for gradients: the ratio of two powers of two whose mantissas run
+    straight, so that their errors mostly cancel.  y: between -80 and 80; overwritten."""
+    y *= _UNIT / np.float32(2 * np.log(2.0))
+    up = y.astype(np.int32)
+    down = _ONE - up
+    up += _ONE
+    return np.divide(up.view(np.float32), down.view(np.float32), out=y)
+
+
+def _shifts(weight: np.ndarray, bias: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, spread) of the logits ``weight @ x + bias`` in each of ``groups`` equal groups of rows.
+
+    States lie between -1 and 1, so weights and biases bound the logits: ``shift`` is the greatest
+    any can be, and where ``spread`` is small, it serves all columns in place of their maximum.
     """
     reach = np.abs(weight).sum(axis=1)
-    high, low = float((bias + reach).max()), float((bias - reach).max())
+    high, low = (bias + reach).reshape(groups, -1).max(axis=1), (bias - reach).reshape(groups, -1).max(axis=1)
+    return high, high - low
+
+
+def _logits(weight: np.ndarray, bias: np.ndarray, x: np.ndarray, shift: np.float32, spread: float) -> np.ndarray:
+    """``weight @ x + bias``, each column moved so that its greatest is at most 0 and far from vanishing."""
     y = weight @ x
-    if high - low < 60:
-        y += (bias - np.float32(high))[:, None]
+    if spread < 60:
+        y += (bias - shift)[:, None]
     else:
         y += bias[:, None]
         y -= y.max(axis=0)
-    at = y[k, columns]
-    np.exp(y, out=y)
-    total = y.sum(axis=0)
-    return at - np.log(total), y, total
+        np.maximum(y, np.float32(-80), out=y)
+    return y
+
+
+def _class_of(goal: np.ndarray) -> np.ndarray:
+    return np.where(goal < TOP_WORDS, goal // CLASS_SIZE, goal - TOP_WORDS + TOP_CLASSES)
+
+
+def _take_runs(weights: np.ndarray, biases: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> None:
+    """Subtract the states of each run of equal ``rows`` from that row of ``weights``, their number from ``biases``."""
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    if len(first):
+        weights[rows[first]] -= np.add.reduceat(flat, first, axis=1).T
+        biases[rows[first]] -= np.diff(np.append(first, len(rows)))
 
 
 class Gru:
@@ -134,48 +169,88 @@ class Gru:
         """What a further round needs."""
         return self.p | {f"seen.{k}": v for k, v in self.seen.items()}
 
-    def _outputs(self, flat: np.ndarray, goal: np.ndarray, grad: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probabilities of ``goal``, gradient by ``flat``) for states ordered by class; fills ``grad``."""
-        p, n = self.p, len(goal)
-        kind = np.where(goal < TOP_WORDS, goal // CLASS_SIZE, goal - TOP_WORDS + TOP_CLASSES)
-        found, d_flat = np.empty(n, np.float32), np.empty_like(flat)
-        columns = np.arange(n)
+    def _outputs(self, flat: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Log-probabilities of ``goal`` for states ordered by class."""
+        p, n, kind = self.p, len(goal), _class_of(goal)
+        found, columns = np.empty(n, np.float32), np.arange(n)
+        (shift,), (spread,) = _shifts(p["class_weight"], p["class_bias"], 1)
+        shifts, spreads = _shifts(p["word_weight"], p["word_bias"], TOP_CLASSES)
+
+        def log_softmax(y: np.ndarray, k: np.ndarray) -> np.ndarray:
+            at = y[k, columns[: len(k)]]
+            return at - np.log(np.exp(y, out=y).sum(axis=0))
+
         for a in range(0, n, BLOCK):  # blocks stay in the processor's cache
-            x, k = flat[:, a : a + BLOCK], kind[a : a + BLOCK]
-            found[a : a + BLOCK], y, total = _log_softmax_at(p["class_weight"], p["class_bias"], x, k, columns[: len(k)])
-            if grad is not None:
-                y /= total
-                y[k, columns[: len(k)]] -= 1
-                d_flat[:, a : a + BLOCK] = p["class_weight"].T @ y
-                grad["class_weight"] += y @ x.T
-                grad["class_bias"] += y.sum(axis=1)
+            own = slice(a, a + BLOCK)
+            found[own] = log_softmax(_logits(p["class_weight"], p["class_bias"], flat[:, own], shift, spread), kind[own])
         cuts = np.searchsorted(kind, np.arange(TOP_CLASSES + 1))
         for c in np.flatnonzero(np.diff(cuts)).tolist():
             own, words = slice(cuts[c], cuts[c + 1]), slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-            x, weight, k = flat[:, own], p["word_weight"][words], goal[own] - c * CLASS_SIZE
-            log_share, y, total = _log_softmax_at(weight, p["word_bias"][words], x, k, columns[: len(k)])
-            found[own] += log_share
-            if grad is not None:
-                y /= total
-                y[k, columns[: len(k)]] -= 1
-                d_flat[:, own] += weight.T @ y
-                grad["word_weight"][words] = y @ x.T
-                grad["word_bias"][words] = y.sum(axis=1)
-        return found, d_flat
-
-    def window(self, h: np.ndarray, read: np.ndarray, target: np.ndarray, fresh: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
+            found[own] += log_softmax(_logits(p["word_weight"][words], p["word_bias"][words], flat[:, own], shifts[c], spreads[c]), goal[own] - c * CLASS_SIZE)
+        return found
+
+    def _output_gradients(self, flat: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients by ``flat``, states ordered by goal, and by the output parameters.
+
+        The gradient by the logits is the softmax less one at the goal.  The part of the goals is
+        summed over runs of equal goals, the softmax is divided by its sum where it has few rows.
+        """
+        p, n, kind = self.p, len(goal), _class_of(goal)
+        d_flat = -(p["class_weight"][kind].T)
+        weights, biases = np.zeros_like(p["class_weight"]), np.zeros_like(p["class_bias"])
+        _take_runs(weights, biases, flat, kind)
+        (shift,), (spread,) = _shifts(p["class_weight"], p["class_bias"], 1)
+        for a in range(0, n, BLOCK):
+            own = slice(a, a + BLOCK)
+            x = flat[:, own]
+            e = _near_exp(_logits(p["class_weight"], p["class_bias"], x, shift, spread))
+            part = 1 / e.sum(axis=0)
+            d_flat[:, own] += (p["class_weight"].T @ e) * part
+            weights += e @ (x * part).T
+            biases += e @ part
+        word_weights, word_biases = np.zeros_like(p["word_weight"]), np.zeros_like(p["word_bias"])
+        cuts = np.searchsorted(kind, np.arange(TOP_CLASSES + 1))
+        top = cuts[-1]
+        d_flat[:, :top] -= p["word_weight"][goal[:top]].T
+        _take_runs(word_weights, word_biases, flat[:, :top], goal[:top])
+        shifts, spreads = _shifts(p["word_weight"], p["word_bias"], TOP_CLASSES)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own, words = slice(cuts[c], cuts[c + 1]), slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
+            x, weight = flat[:, own], p["word_weight"][words]
+            e = _near_exp(_logits(weight, p["word_bias"][words], x, shifts[c], spreads[c]))
+            part = 1 / e.sum(axis=0)
+            d_flat[:, own] += (weight.T @ e) * part
+            word_weights[words] += e @ (x * part).T
+            word_biases[words] += e @ part
+        return d_flat, {"class_weight": weights, "class_bias": biases, "word_weight": word_weights, "word_bias": word_biases}
+
+    def window(self, h: np.ndarray, read: np.ndarray, target: np.ndarray, fresh: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """(state after the window, log-probabilities of the targets that are live, row by row).
 
         h: (HIDDEN, lanes); read, target: symbols (steps, lanes), target -1 where a lane has ended;
-        fresh: where a document begins.  With ``train``, one step of Adagrad follows.
+        fresh: where a document begins.  With ``train``, one step of Adagrad in place of the
+        log-probabilities.
         """
-        h, log_probability, grad = self.forward(h, read, target, fresh, train)
-        if grad is not None:
-            self._descend(grad)
+        h, states, kept, x = self._forward(h, read, fresh, train)
+        live = np.flatnonzero(target.ravel() >= 0)
+        goal = target.ravel()[live]
+        order = np.argsort(goal.astype(np.uint16), kind="stable")
+        if train:
+            if len(goal):
+                self._descend(self.gradients(states, kept, x, read, fresh, live[order], goal[order]))
+            return h, None
+        log_probability = np.empty(len(goal), np.float32)
+        log_probability[order] = self._outputs(states[:, live[order]], goal[order])
         return h, log_probability
 
-    def forward(self, h: np.ndarray, read: np.ndarray, target: np.ndarray, fresh: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray] | None]:
-        """As ``window``, with the gradients of minus the sum of the log-probabilities in place of a step."""
+    def gradients(self, states: np.ndarray, kept: list, x: np.ndarray, read: np.ndarray, fresh: np.ndarray, places: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of minus the sum of the log-probabilities of a window; ``places`` hold ``goal``, in its order."""
+        d_states = np.zeros_like(states)
+        d_states[:, places], grad = self._output_gradients(states[:, places], goal)
+        return grad | self._back(d_states, kept, x, read, fresh)
+
+    def _forward(self, h: np.ndarray, read: np.ndarray, fresh: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+        """(state after the window, all states, what ``_back`` needs of each step, inputs)."""
         p, H = self.p, HIDDEN
         steps, lanes = read.shape
         x = p["embedding"][read.ravel()]
@@ -191,29 +266,22 @@ class Gru:
             u = p["recurrent"] @ h
             zr = u[: 2 * H]
             zr += gates[: 2 * H, now]
-            z, r, un = _sigmoid(zr)[:H], zr[H:], u[2 * H :]
+            _softsign(zr)
+            slope = _slope(zr) if keep else None
+            zr *= np.float32(0.5)
+            zr += np.float32(0.5)
+            z, r, un = zr[:H], zr[H:], u[2 * H :]
             n = r * un
             n += gates[2 * H :, now]
-            np.tanh(n, out=n)
+            _softsign(n)
             new = h - n
             new *= z
             new += n
             states[:, now] = new
-            if train:
-                kept.append((h, z, r, n, un))
+            if keep:
+                kept.append((h, z, r, n, un, slope))
             h = new
-        live = np.flatnonzero(target.ravel() >= 0)
-        goal = target.ravel()[live]
-        order = np.argsort(goal.astype(np.uint16), kind="stable")
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k.startswith(("class", "word"))} if train and len(goal) else None
-        found, d_sorted = self._outputs(states[:, live[order]], goal[order], grad)
-        log_probability = np.empty_like(found)
-        log_probability[order] = found
-        if grad is not None:
-            d_states = np.zeros_like(states)
-            d_states[:, live[order]] = d_sorted
-            grad |= self._back(d_states, kept, x, read, fresh)
-        return h, log_probability, grad
+        return h, states, kept, x
 
     def _back(self, d_states: np.ndarray, kept: list, x: np.ndarray, read: np.ndarray, fresh: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients through the steps of the window."""
@@ -226,18 +294,17 @@ class Gru:
         d_z, d_r, d_un = d_u[:H], d_u[H : 2 * H], d_u[2 * H :]
         d_h = np.zeros((H, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, un = kept[t]
+            before, z, r, n, un, slope = kept[t]
             now = slice(t * lanes, (t + 1) * lanes)
             d_h += d_states[:, now]
-            np.multiply(d_h, z, out=d_z)  # what reaches the state before directly
-            d_n = d_h - d_z
-            d_h = d_z.copy()
-            d_z *= before - n
-            d_z *= 1 - z
-            d_n *= 1 - n * n
+            d_h_in, d_h = d_h, d_h * z  # what reaches the state before directly
+            d_n = d_h_in - d_h
+            np.multiply(d_h_in, before - n, out=d_z)
+            d_n *= _slope(n)
             np.multiply(d_n, r, out=d_un)
-            np.multiply(d_un, un, out=d_r)
-            d_r *= 1 - r
+            np.multiply(d_n, un, out=d_r)
+            slope *= np.float32(0.5)
+            d_u[: 2 * H] *= slope
             d_gates[: 2 * H, now] = d_u[: 2 * H]
             d_gates[2 * H :, now] = d_n
             d_recurrent += d_u @ before.T
@@ -298,7 +365,8 @@ def run_documents(net: Gru, symbols: np.ndarray, sizes: np.ndarray, train: bool)
         target = np.where(live, symbols[token].astype(np.int64), -1)
         read = np.where(fresh, END_SYMBOL, symbols[np.maximum(token - 1, 0)].astype(np.int64))
         h, log_probability = net.window(h[:, :active], read, target, fresh, train)
-        total += np.bincount(document[live], log_probability, minlength=len(sizes))
+        if log_probability is not None:
+            total += np.bincount(document[live], log_probability, minlength=len(sizes))
     return total
 
 
@@ -347,7 +415,7 @@ def _chunked(docs: DataFrame) -> DataFrame:
         def made() -> pa.RecordBatch:
             words, every = list(numbers), np.concatenate(tokens)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            tails = np.fromiter((tail_class(w) - TOP_CLASSES for w in words), np.uint8, len(words))
+            tails = tail_classes(words)
             seen = np.bincount(every[np.repeat(training, sizes)], minlength=len(words)).astype(np.uint64)
             row = [(part << 24) | index, len(words), hashes.tobytes(), tails.tobytes(), packed(seen), len(every), packed(every), ids, training, sizes, keys]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _CHUNKS.types)], schema=_CHUNKS)
@@ -425,7 +493,7 @@ def _counted(shards: DataFrame, n_shards: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(col, t) for col, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in _COUNTED_DDL.split(", ")])
 
-    return shards.groupBy("shard").applyInArrow(merge, _COUNTED_DDL)
+    return shards.repartition(n_shards, "shard").groupBy("shard").applyInArrow(merge, _COUNTED_DDL)
 
 
 def _statistics(chunks: DataFrame, counted: DataFrame) -> dict:
@@ -462,7 +530,7 @@ def _statistics(chunks: DataFrame, counted: DataFrame) -> dict:
 _CODED_DDL = "doc_id long, training boolean, replica long, turn long, key long, size long, symbols binary, fixed double, base double, known long"
 
 
-def _coded(chunks: DataFrame, counted: DataFrame, model: dict, replicas: int) -> DataFrame:
+def _coded(chunks: DataFrame, counted: DataFrame, model: dict, tasks: int, replicas: int) -> DataFrame:
     """Per document: its symbols, what of its score is fixed, its base score and known words, and the
     replica and round that train on it, which depend on its text alone."""
     N, V, n_docs, hapax = (model[k] for k in ("N", "V", "n_docs", "hapax"))
@@ -504,8 +572,8 @@ def _coded(chunks: DataFrame, counted: DataFrame, model: dict, replicas: int) ->
             out.append(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=[x.split()[0] for x in _CODED_DDL.split(", ")]))
         return pa.concat_tables(out)
 
-    documents = chunks.select("chunk", "n_words", "hashes", "tails", "n_tokens", "tokens", "doc_ids", "training", "sizes", "keys")
-    counts = counted.where("chunk is not null").select(F.col("chunk").alias("of"), "shard", "n_words", "counts")
+    documents = chunks.select("chunk", "n_words", "hashes", "tails", "n_tokens", "tokens", "doc_ids", "training", "sizes", "keys").repartition(tasks, "chunk")
+    counts = counted.where("chunk is not null").select(F.col("chunk").alias("of"), "shard", "n_words", "counts").repartition(tasks, "of")
     return documents.groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(code, _CODED_DDL)
 
 
@@ -588,11 +656,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     chunks = materialize(_chunked(texts), "chunks")
-    words, tokens = (x or 0 for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens")).first())
+    words, tokens, n_chunks = (x or 0 for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens"), F.count(F.lit(1))).first())
     n_shards, replicas = max(1, -(-words // SHARD_WORDS)), max(1, round(tokens / REPLICA_TOKENS))
     counted = materialize(_counted(_shards(chunks, n_shards), n_shards), "counted")
     model = _statistics(chunks, counted)
-    coded = materialize(_coded(chunks, counted, model, replicas), "coded")
+    coded = materialize(_coded(chunks, counted, model, max(1, n_chunks // 2), replicas), "coded")
     discard(chunks)
     discard(counted)
     net = sc.broadcast(_train(coded, first_parameters(model["class_log"], model["word_log"]), replicas))
