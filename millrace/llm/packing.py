@@ -12,8 +12,9 @@ resulting table of runs, bounded by the same number, is broadcast.  Each piece f
 its rank among the pieces of its length; ranks are made in salted groups, so a length that holds a
 third of all pieces is still ranked by many tasks.
 
-Defined results: null text is empty and packs as its end id alone; repeated rows are packed once
-each; a null id stays null; an empty table gives an empty result; further columns are ignored.
+Defined results: null text is empty and packs as its end id alone; a special token's string in a
+text is that token, as the tokenizer has it; texts of any length are coded whole; repeated rows are packed once
+each, whatever their order (they are alike in all columns); a null id stays null; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm._scratch import materialize, tidy
 
-#: Characters of the texts that are coded at once; bytes of known chunks in each of two generations.
-CALL_CHARS, KEPT_BYTES = 500_000, 50_000_000
+#: Characters of the texts that are coded at once, and new chunks coded as one text.
+CALL_CHARS, TOGETHER = 500_000, 200
+#: Bytes of the codes that stay; half as much is for each of the two generations of new ones.
+KEPT_BYTES, ENTRY_BYTES = 60_000_000, 200
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MIN_RANK_GROUP = 500
@@ -80,8 +84,10 @@ class Coder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     A byte-level pre-tokenizer always starts anew before white space that follows other characters,
-    so a text may be coded in such chunks.  Each chunk is coded by the tokenizer once and kept while
-    the worker's table has room; texts with other white space than ASCII's are coded in one go.
+    so a text may be coded in such chunks; texts with other white space than ASCII's are coded in
+    one go.  Codes of chunks are kept: those met again stay while the table has room, those met once
+    wait for one or two more generations.  New chunks that start with white space are coded as
+    one text; the bytes that each token stands for show where one chunk ends.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,27 +95,62 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # in a byte-level vocabulary each character of a token stands for one byte
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.bytes_of[number] = len(token)
+        self.kept: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.room = KEPT_BYTES
-
-    def _code(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kept_room, self.room = KEPT_BYTES, KEPT_BYTES // 2
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _code(self, chunks: list[str], whole: set[str]) -> dict[str, bytes]:
+        """The ids of new chunks; those in ``whole`` are texts."""
+        coded, joined = {}, []
+        for c in chunks:
+            if c[0] in ASCII_SPACE and c[-1] not in ASCII_SPACE and c not in whole:
+                joined.append(c)
+            else:
+                coded[c] = b""
+        for c, ids in zip(list(coded), self._ids(list(coded))):
+            coded[c] = ids.tobytes()
+        groups = [joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)]
+        for group, ids in zip(groups, self._ids(["".join(g) for g in groups])):
+            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in group])
+            cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 4).tolist()
+            data = ids.tobytes()
+            coded.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+        return coded
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if self.room < 0:  # what was used since the last time stays one turn longer
-            self.known, self.before, self.room = {}, self.known, KEPT_BYTES
-        known, before = self.known, self.before
-        chunks = [[t] if OTHER_SPACE.search(t) else CHUNK.findall(t) for t in texts]
-        missing = {c for own in chunks for c in own if c not in known}
-        kept = [c for c in missing if c in before]
-        known.update(zip(kept, map(before.__getitem__, kept)))
-        new = list(missing.difference(kept))
-        known.update(zip(new, self._code(new)))
-        self.room -= sum(map(len, missing)) + 200 * len(missing)
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+        if self.room < 0:  # what was met once waits one generation longer
+            self.known, self.before, self.room = {}, self.known, KEPT_BYTES // 2
+        whole = set(filter(OTHER_SPACE.search, texts))
+        chunks = [[t] if t in whole else CHUNK.findall(t) for t in texts]
+        distinct = list(set().union(*chunks))
+        here = dict(zip(distinct, map(self.kept.get, distinct)))
+        again = {}
+        for table in (self.known, self.before):
+            missing = [c for c, ids in here.items() if ids is None]
+            again.update((c, ids) for c, ids in zip(missing, map(table.get, missing)) if ids is not None)
+            here.update(again)
+        size = ENTRY_BYTES * len(again) + sum(map(len, again))
+        if self.kept_room > 0:
+            self.kept.update(again)
+            self.kept_room -= size
+        else:
+            self.known.update(again)
+            self.room -= size
+        new = self._code([c for c, ids in here.items() if ids is None], whole)
+        here.update(new)
+        self.known.update(new)
+        self.room -= ENTRY_BYTES * len(new) + sum(map(len, new))
+        return [b"".join(map(here.__getitem__, c)) for c in chunks]
 
 
 @lru_cache(maxsize=2)
@@ -143,7 +184,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
                 [pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        made.before = {}  # of what is known, one generation waits for the next task
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -119,7 +119,6 @@ def test_packing_query_is_whole_and_gapless(spark):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
     ids = {n: [*e.ids, 2] for (n, _), e in zip(docs, made.encode_batch([t for _, t in docs], add_special_tokens=False))}
     rows = QUERIES["op1_best_fit_packing"](spark, SF_DIR).collect()
