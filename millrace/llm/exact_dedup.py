@@ -10,7 +10,8 @@ bits).  Beyond that the share of false positives rises, more rows shuffle, and r
 
 Defined results: null text counts as empty; texts equal after white-space folding are copies, so
 all empty texts are copies of each other; of rows that tie on ``doc_id`` exactly one stays; null ids
-lose to any id; an empty table gives an empty result; other columns are kept, whatever their names.
+lose to any id; a text of any length is hashed whole; an empty table gives an empty result; other
+columns are kept, whatever their names, as helper columns stand beside a struct of the row.
 """
 
 from __future__ import annotations
@@ -126,16 +127,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Possibly repeated rows are combined on the map side, so of a group of copies each task sends
     one row at most.
     """
-    columns = docs.columns
-    marked = docs.withColumn("__sha", text_hash(F.col(text_col)))
-    hashes = marked.select("__sha")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("sha"))
+    hashes = marked.select("sha")
     bits = filter_bits(docs.select(id_col).count())
-    flagged = with_maybe_repeated(marked, "__sha", repeated_filter(hashes, "__sha", bits), bits, "__maybe")
-    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(*columns).alias("tie"))
-    repeated = (
-        flagged.where("__maybe")
-        .groupBy("__sha")
-        .agg(F.min_by(F.struct(*columns), first).alias("__row"))
-        .select("__row.*")
-    )
-    return flagged.where("not __maybe").select(*columns).unionByName(repeated)
+    flagged = with_maybe_repeated(marked, "sha", repeated_filter(hashes, "sha", bits), bits, "maybe")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", F.xxhash64("row").alias("tie"))
+    repeated = flagged.where("maybe").groupBy("sha").agg(F.min_by("row", first).alias("row"))
+    return flagged.where("not maybe").select("row.*").unionByName(repeated.select("row.*"))

@@ -19,8 +19,11 @@ The cut leaves five standard deviations at the threshold.  With 24 bands of 6, a
 shares no bucket with a chance of 1e-5.
 
 Defined results: null or blank text has no shingles, links with nothing and stays; with fewer than
-five words the whole sequence is the one shingle; a null id takes part in no link and stays; an
-empty table gives an empty result; further columns are ignored (kept by ``drop_near_copies``).
+five words the whole sequence is the one shingle; a null id takes part in no link and stays; rows
+that repeat an id are judged each by its own text, rows that repeat id and text are one class and
+``drop_near_copies`` keeps one of them; of equal least ids the lesser text hash stays; a text of any
+length is read whole, its set is held by one task at a time; an empty table gives an empty result;
+further columns are ignored (kept by ``drop_near_copies``), whatever their names.
 """
 
 from __future__ import annotations
@@ -45,8 +48,8 @@ SKETCH_BITS = 256
 FINE_BITS, FINE_SIZE = 2048, 1500
 STAR_ROUNDS = 3
 CELL_ROWS = 256
-#: Ids below this number are broadcast (8 bytes each); beyond it, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Keys below this number are broadcast (24 bytes each); beyond it, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _MASK = (1 << 64) - 1
 
@@ -131,13 +134,18 @@ def sketch_cut(threshold: float) -> int:
     return int(mean + 5 * (sampling**2 + parity**2) ** 0.5)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, text: ids may repeat, so a row is told by its id and its text."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key, bands, sketch; the last three null without shingles."""
+    """doc_id, text_hash, n_shingles, set_key, bands, sketch; the last three null without shingles."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, bands, odd = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 shingles = shingle_set(text.as_py())
                 sizes.append(len(shingles))
                 if len(shingles):
@@ -150,17 +158,21 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     bands.append(None)
                     odd.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "set_key", "bands", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        tidy(make), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+    return _keyed(docs, id_col, text_col).mapInArrow(
+        tidy(make), "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
     )
 
 
-def _shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles, level, fine) of the documents in ``ids`` (column id); docs has doc_id and text."""
+def _shingles_of(docs: DataFrame, owners: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, shingles, level, fine), one row for each of ``owners`` (id, doc_id, text_hash).
+
+    repeated: (doc_id, text_hash) of rows that occur more than once; of these one is taken, chosen
+    on the map side.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +183,12 @@ def _shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 names=["id", "shingles", "level", "fine"],
             )
 
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = docs.join(small, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(tidy(make), "id long, shingles binary, level int, fine array<long>")
+    key = ["doc_id", "text_hash"]
+    small = lambda table: F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+    again = materialize(owners.join(repeated, key), "repeated-owners")
+    single = docs.join(small(owners.join(again, key, "left_anti")), key).select("id", "text")
+    several = docs.join(small(again), key).groupBy("id").agg(F.min("text").alias("text"))
+    return single.unionByName(several).mapInArrow(tidy(make), "id long, shingles binary, level int, fine array<long>")
 
 
 def _ends(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -200,15 +215,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> Data
     return _ends(pairs, sets, ["shingles"]).select("a", "b", "a_shingles", "b_shingles").mapInArrow(tidy(check), "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for ids that have an edge (a, b).
 
-    Large-star and small-star rounds until the edges no longer change; ``max_rounds`` is far beyond
-    what the logarithmic number of rounds needs, and running into it is an error, not a result.
+    Large-star and small-star rounds until the edges no longer change, as many as it takes: their
+    number grows with the logarithm of the edges, and each round only lowers labels.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).withColumnRenamed("a", "u")
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -226,8 +241,6 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
                 now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
             )
         mark = tuple(new)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
 
 def _differing(a: str, b: str, bits: int) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(bits // 64)), F.lit(0))
@@ -309,23 +322,30 @@ def cell_pairs(members: DataFrame, threshold_percent: int) -> DataFrame:
     return members.mapInArrow(tidy(pairs), "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = materialize(sketches(texts), "sketches")
-    # one representative per distinct shingle set; copies are combined on the map side
+def _judged(docs: DataFrame, threshold_percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id and ``first``, the id and text
+    hash of the row that stays in its component (both null without shingles or id)."""
+    texts = _keyed(docs, id_col, text_col)
+    made = materialize(sketches(docs, id_col, text_col), "sketches")
+    # one representative per distinct shingle set; copies are combined on the map side.  Classes are
+    # numbered as they are written, as ids may repeat.
+    linked = made.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(
-        made.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_key")
-        .agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), "doc_id").alias("r"))
-        .select("set_key", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("size"), "r.bands", "r.sketch"),
+        linked.groupBy("set_key")
+        .agg(F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "bands", "sketch"), F.struct("doc_id", "text_hash")).alias("r"))
+        .select(
+            "set_key", F.monotonically_increasing_id().alias("id"), F.struct("r.doc_id", "r.text_hash").alias("first"),
+            F.col("r.n_shingles").alias("size"), "r.bands", "r.sketch",
+        ),
         "classes",
     )
+    repeated = linked.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash")
     in_bands = classes.select("id", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = materialize(in_bands.join(shared, "bucket").select("bucket", "id"), "buckets")
     member_ids = materialize(members.select("id").distinct(), "member-ids")
-    sets = materialize(_shingles_of(texts, member_ids), "shingle-sets")
+    owners = classes.join(member_ids, "id", "left_semi").select("id", "first.doc_id", "first.text_hash")
+    sets = materialize(_shingles_of(texts, owners, repeated), "shingle-sets")
     faces = classes.select("id", "size", "sketch")
 
     placed, tried, links, component_of = members.withColumn("component", F.col("id")), [], [], None
@@ -365,19 +385,29 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, id_col: str = "doc
     rest = materialize(crossing.join(done, ["a", "b"], "left_anti"), "cross-pairs")
     final = components(reduce(DataFrame.unionByName, [*links, confirmed(rest, sets, threshold_percent)]))
 
-    owner = classes.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return (
-        made.select("doc_id", "n_shingles", "set_key")
-        .join(owner, "set_key", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    placed = classes.select("set_key", "id", "first").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"), "first")
+    firsts = placed.groupBy("component").agg(F.min("first").alias("first"))
+    owner = placed.select("set_key", "component").join(firsts, "component").select("set_key", "first")
+    return made.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(owner, "set_key", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first"
     )
 
 
-def drop_near_copies(docs: DataFrame, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the least id; all columns kept."""
-    gone = materialize(
-        near_groups(docs, threshold_percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies"
+def near_groups(docs: DataFrame, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept (whether its id is the component's)."""
+    return _judged(docs, threshold_percent, id_col, text_col).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
-    small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(small, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
+def drop_near_copies(docs: DataFrame, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the least id (then text hash), one
+    of equal rows; all columns kept, whatever their names."""
+    judged = materialize(_judged(docs, threshold_percent, id_col, text_col), "judged")
+    key = ["doc_id", "text_hash"]
+    fate = judged.where("first is not null").groupBy(*key, "first").agg(F.count(F.lit(1)).alias("n")).withColumn("stays", F.col("first") == F.struct(*key))
+    fate = materialize(fate.where("not stays or n > 1").select(*key, "stays"), "near-copies")
+    small = F.broadcast(fate) if fate.count() <= BROADCAST_IDS else fate
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    several = rows.join(small, key).where("stays").groupBy(*key).agg(F.first("row").alias("row"))
+    return rows.join(small, key, "left_anti").select("row.*").unionByName(several.select("row.*"))

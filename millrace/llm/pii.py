@@ -6,10 +6,13 @@ character of its output, the span of source characters that it came from.  The s
 over the output, and what they find is mapped back to source offsets.  Spans that the base already
 has, or that overlap one of the same kind, are not added again.
 
-Every scan is linear in the text, so whole texts of any length are read.
+Every scan goes on behind what it has tried, so its time is linear in the text and whole texts of
+any length are read.
 
 Defined results: null text is empty and has no spans; offsets are code points, ends exclusive;
-repeated rows give repeated results; an empty table gives an empty result.
+repeated rows give repeated results; of overlapping finds of one kind the base one, then the first,
+stays; a null id stays null; an empty table gives an empty result; further columns are ignored by
+``personal_data`` and kept by ``mask_personal_data``, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,15 +68,16 @@ _SPELLED = re.compile(
 )
 _TOKEN = re.compile(rf"{_WORD}|[0-9]|\+|plus|{_DOT}|\.", re.I)
 _DOT_WORDS = {"dot", "point", "punkt", "punto"}
-#: A disguised address: local part, at sign in some form, labels joined by dots in some form.
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:{_DOT_SIGN}[A-Za-z0-9_%+-]+)*+"
-    rf"(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|\s+at\s+|\s*@\s*)"
+#: A disguised address in two parts: words joined by dots in some form, then an at sign in some form
+#: and labels joined by dots in some form.
+_LOCAL_CHAIN = re.compile(rf"[A-Za-z0-9._%+-]+(?:{_DOT_SIGN}[A-Za-z0-9_%+-]+)*+", re.I)
+_AT_LABELS = re.compile(
+    rf"(?P<at>\s*[\[({{{{<]\s*(?:at|@)\s*[\])}}}}>]\s*|\s+at\s+|\s*@\s*)"
     rf"[A-Za-z0-9-]+(?P<rest>(?:(?:{_DOT_SIGN}|\.)[A-Za-z0-9-]+)+)",
     re.I,
 )
 _AT_HINT = re.compile(rf"[\[({{<]\s*(?:at|@|{_DOT}|\.)\s*[\])}}>]|\s{_DOT}\s", re.I)
-#: With ``_AT_HINT``, every text that ``_ADDRESS`` matches and the base patterns do not.
+#: With ``_AT_HINT``, every text that holds a disguised address and the base patterns do not.
 _LOOSE_AT = re.compile(r"\s@|@\s")
 _SIGNS = re.compile(rf"(?P<dot>{_DOT_SIGN})|(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|\s+at\s+|\s*@\s*)", re.I)
 _DOTTED_HINT = re.compile(rf"[0-9]{{1,3}}(?:{_DOT_SIGN}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -163,12 +167,16 @@ def _lookalikes(m: Mapped) -> None:
 
 
 def _signs(m: Mapped) -> None:
-    edits = []
-    for address in _ADDRESS.finditer(m.text):
+    edits, upto = [], 0
+    while chain := _LOCAL_CHAIN.search(m.text, upto):  # what a chain has tried is not tried again
+        address = _AT_LABELS.match(m.text, chain.end())
+        upto = address.end() if address else chain.end()
+        if not address:
+            continue
         bare = not re.search(r"[\[({<@]", address["at"])
         if bare and not re.search(_DOT_SIGN, address["rest"], re.I):
             continue  # "look at example.com" is ordinary prose
-        for x in _SIGNS.finditer(m.text, address.start(), address.end()):
+        for x in _SIGNS.finditer(m.text, chain.start(), address.end()):
             new = "." if x["dot"] else "@"
             if x[0] != new:
                 edits.append((x.start(), x.end(), new))
