@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.lineage import checkpointed
+
 
-def closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth) with every node at depth 0 and the least depth kept.
 
-    Each round joins the frontier with the edges; it stops when nothing new appears, and
-    raises if there are ancestors deeper than ``max_depth``.
+    Each round joins the frontier with the edges and cuts its lineage with a checkpoint in the folder
+    that ``spark.checkpoint.dir`` names, so no round repeats the ones before.  It stops when nothing
+    new appears, so cycles end too.  With ``max_depth``, deeper ancestors raise.
     """
+    edges = checkpointed(edges.select("child", "parent").where("child is not null and parent is not null").distinct())
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
-    reached = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    frontier = reached
-    for depth in range(1, max_depth + 2):
-        frontier = (
+    reached = frontier = checkpointed(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+    for depth in itertools.count(1):
+        frontier = checkpointed(
             frontier.select("node", F.col("ancestor").alias("child"))
             .join(edges, "child")
             .select("node", F.col("parent").alias("ancestor"))
@@ -25,11 +30,29 @@ def closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
             .withColumn("depth", F.lit(depth))
         )
         if frontier.isEmpty():
-            break
-        if depth > max_depth:
+            return reached
+        if max_depth is not None and depth > max_depth:
             raise ValueError(f"ancestors deeper than max_depth={max_depth}")
         reached = reached.unionByName(frontier)
-    return reached
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable over edges (a, b), taken both ways.
+
+    Every node takes the least label among its neighbours and that label's own label, so paths halve
+    in each round; rounds go on until no label moves.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
+    both = checkpointed(both)
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        met = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        moved = checkpointed(met.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label")))
+        labels = moved.select("node", "label")
+        if moved.where("label < old").isEmpty():
+            return labels.withColumnRenamed("label", "component")
 
 
 def rollup(lines: DataFrame, leaf: str, paths: DataFrame, active: DataFrame) -> DataFrame:
