@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.plans import relational_queries
+from millrace.plans import ranking_queries, relational_queries, report_queries
 
 FLAGSHIP = "p7_recipe_nutrients"
-QUERIES = {**relational_queries.QUERIES}
-ORACLE_SQL = {**relational_queries.SQL}
+QUERIES = {**relational_queries.QUERIES, **report_queries.QUERIES, **ranking_queries.QUERIES}
+ORACLE_SQL = {**relational_queries.SQL, **report_queries.SQL, **ranking_queries.SQL}

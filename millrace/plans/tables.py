@@ -11,8 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def recipe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recipe_id, line, food_id, source_id, grams, status."""
+def recipe_lines(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """recipe_id, line, food_id, source_id, grams, status and the columns ``more``."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("recipe_id"),
         F.col("l_linenumber").alias("line"),
@@ -20,6 +20,7 @@ def recipe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("source_id"),
         F.col("l_quantity").alias("grams"),
         F.col("l_returnflag").alias("status"),
+        *more,
     )
 
 
