@@ -150,11 +150,14 @@ def _class_of(goal: np.ndarray) -> np.ndarray:
 
 
 def _take_runs(weights: np.ndarray, biases: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> None:
-    """Subtract the states of each run of equal ``rows`` from that row of ``weights``, their number from ``biases``."""
-    first = np.flatnonzero(np.diff(rows, prepend=-1))
-    if len(first):
-        weights[rows[first]] -= np.add.reduceat(flat, first, axis=1).T
-        biases[rows[first]] -= np.diff(np.append(first, len(rows)))
+    """Subtract the states that belong to a row from that row of ``weights``, their number from ``biases``."""
+    weights -= _summed(flat, rows, len(weights))
+    biases -= np.bincount(rows, minlength=len(biases)).astype(np.float32)
+
+
+def _summed(columns: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, features): the sums of the columns that share a row number."""
+    return np.array([np.bincount(rows, feature, n) for feature in columns], np.float32).T
 
 
 class Gru:
@@ -196,7 +199,8 @@ class Gru:
         summed over runs of equal goals, the softmax is divided by its sum where it has few rows.
         """
         p, n, kind = self.p, len(goal), _class_of(goal)
-        d_flat = -(p["class_weight"][kind].T)
+        d_flat = np.ascontiguousarray(p["class_weight"].T).take(kind, axis=1)
+        np.negative(d_flat, out=d_flat)
         weights, biases = np.zeros_like(p["class_weight"]), np.zeros_like(p["class_bias"])
         _take_runs(weights, biases, flat, kind)
         (shift,), (spread,) = _shifts(p["class_weight"], p["class_bias"], 1)
@@ -211,7 +215,7 @@ class Gru:
         word_weights, word_biases = np.zeros_like(p["word_weight"]), np.zeros_like(p["word_bias"])
         cuts = np.searchsorted(kind, np.arange(TOP_CLASSES + 1))
         top = cuts[-1]
-        d_flat[:, :top] -= p["word_weight"][goal[:top]].T
+        d_flat[:, :top] -= np.ascontiguousarray(p["word_weight"].T).take(goal[:top], axis=1)
         _take_runs(word_weights, word_biases, flat[:, :top], goal[:top])
         shifts, spreads = _shifts(p["word_weight"], p["word_bias"], TOP_CLASSES)
         for c in np.flatnonzero(np.diff(cuts)).tolist():
@@ -240,13 +244,13 @@ class Gru:
                 self._descend(self.gradients(states, kept, x, read, fresh, live[order], goal[order]))
             return h, None
         log_probability = np.empty(len(goal), np.float32)
-        log_probability[order] = self._outputs(states[:, live[order]], goal[order])
+        log_probability[order] = self._outputs(states.take(live[order], axis=1), goal[order])
         return h, log_probability
 
     def gradients(self, states: np.ndarray, kept: list, x: np.ndarray, read: np.ndarray, fresh: np.ndarray, places: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of minus the sum of the log-probabilities of a window; ``places`` hold ``goal``, in its order."""
         d_states = np.zeros_like(states)
-        d_states[:, places], grad = self._output_gradients(states[:, places], goal)
+        d_states[:, places], grad = self._output_gradients(states.take(places, axis=1), goal)
         return grad | self._back(d_states, kept, x, read, fresh)
 
     def _forward(self, h: np.ndarray, read: np.ndarray, fresh: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
@@ -311,13 +315,8 @@ class Gru:
             d_h += back @ d_u
             if fresh[t].any():
                 d_h[:, fresh[t]] = 0
-        d_x = d_gates.T @ p["input"]
-        symbols = read.ravel().astype(np.uint16)
-        by = np.argsort(symbols, kind="stable")
-        first = np.flatnonzero(np.diff(symbols[by].astype(np.int32), prepend=-1))
-        embedding = np.zeros_like(p["embedding"])
-        embedding[symbols[by[first]]] = np.add.reduceat(d_x[by], first, axis=0)
-        return {"recurrent": d_recurrent, "gate_bias": d_gates.sum(axis=1), "input": d_gates @ x, "embedding": embedding}
+        embedding = _summed(p["input"].T @ d_gates, read.ravel(), SYMBOLS)
+        return {"recurrent": d_recurrent, "gate_bias": d_gates.sum(axis=1), "input": d_gates @ x, "embedding": np.ascontiguousarray(embedding)}
 
     def _descend(self, grad: dict[str, np.ndarray]) -> None:
         # windows in which few lanes still run move the weights little

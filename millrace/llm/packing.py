@@ -35,8 +35,8 @@ from millrace.llm._scratch import materialize, tidy
 
 #: Characters of the texts that are coded at once, and new chunks coded as one text.
 CALL_CHARS, TOGETHER = 500_000, 200
-#: Bytes of the codes that stay; half as much is for each of the two generations of new ones.
-KEPT_BYTES, ENTRY_BYTES = 60_000_000, 200
+#: Bytes of the codes that stay, and of each of the two generations of new ones.
+KEPT_BYTES, ENTRY_BYTES = 50_000_000, 200
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -103,7 +103,7 @@ class Coder:
         self.kept: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.kept_room, self.room = KEPT_BYTES, KEPT_BYTES // 2
+        self.kept_room, self.room = KEPT_BYTES, KEPT_BYTES
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,7 +129,7 @@ class Coder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if self.room < 0:  # what was met once waits one generation longer
-            self.known, self.before, self.room = {}, self.known, KEPT_BYTES // 2
+            self.known, self.before, self.room = {}, self.known, KEPT_BYTES
         whole = set(filter(OTHER_SPACE.search, texts))
         chunks = [[t] if t in whole else CHUNK.findall(t) for t in texts]
         distinct = list(set().union(*chunks))
