@@ -529,6 +529,12 @@ def _statistics(chunks: DataFrame, counted: DataFrame) -> dict:
 _CODED_DDL = "doc_id long, training boolean, replica long, turn long, key long, size long, symbols binary, fixed double, base double, known long"
 
 
+def dealt(keys: np.ndarray, replicas: int) -> tuple[np.ndarray, np.ndarray]:
+    """(replica, round) that trains on the document of each key."""
+    mixed = keys.view(np.uint64)
+    return (mixed % np.uint64(replicas)).astype(np.int64), (mixed // np.uint64(replicas) % np.uint64(ROUNDS)).astype(np.int64)
+
+
 def _coded(chunks: DataFrame, counted: DataFrame, model: dict, tasks: int, replicas: int) -> DataFrame:
     """Per document: its symbols, what of its score is fixed, its base score and known words, and the
     replica and round that train on it, which depend on its text alone."""
@@ -564,8 +570,7 @@ def _coded(chunks: DataFrame, counted: DataFrame, model: dict, tasks: int, repli
             coded = symbol.astype(np.uint16)[tokens]
             cuts = np.cumsum(sizes)
             symbols = [np.append(coded[b - n : b], np.uint16(END_SYMBOL)).tobytes() for b, n in zip(cuts.tolist(), sizes.tolist())]
-            mixed = np.array(row["keys"], np.int64).view(np.uint64)
-            replica, turn = (mixed % np.uint64(replicas)).astype(np.int64), (mixed // np.uint64(replicas) % np.uint64(ROUNDS)).astype(np.int64)
+            replica, turn = dealt(np.array(row["keys"], np.int64), replicas)
             columns = (row["doc_ids"], row["training"], replica, turn, row["keys"], sizes + 1, symbols, total(fixed), base, known)
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64())
             out.append(pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=[x.split()[0] for x in _CODED_DDL.split(", ")]))
