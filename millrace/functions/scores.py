@@ -29,12 +29,55 @@ def f_beta(a: Column, b: Column, beta: float = 0.5) -> Column:
 
 
 def containment_bonus(a: Column, b: Column) -> Column:
-    """Jaccard plus a quarter if one set holds the other, at most 1."""
-    both, less = F.array_size(F.array_intersect(a, b)), F.least(F.array_size(a), F.array_size(b))
-    bonus = F.when((less > 0) & (both == less), 0.25).otherwise(0.0)
+    """Jaccard of query tokens ``a`` with ``b``, a quarter more if all of ``a`` is in ``b``, at most 1; 0 if one is empty."""
+    size = F.array_size(a)
+    bonus = F.when((size > 0) & (F.array_size(F.array_intersect(a, b)) == size), 0.25).otherwise(0.0)
     return F.least(jaccard(a, b) + bonus, F.lit(1.0))
 
 
+def label_match(term: Column, label: Column) -> Column:
+    """1 for equal labels, more than 0.92 for a prefix, more than 0.75 for a part, else the share of
+    characters that need no edit; 0 if one is empty."""
+    t, s = (F.regexp_replace(F.lower(F.trim(x)), r"\s+", " ") for x in (term, label))
+    share = F.try_divide(F.length(t), F.length(s))
+    return (
+        F.when((t == "") | (s == ""), 0.0)
+        .when(t == s, 1.0)
+        .when(F.startswith(s, t), 0.92 + 0.08 * share)
+        .when(F.contains(s, t), 0.75 + 0.2 * share)
+        .otherwise(edit_ratio(t, s))
+    )
+
+
+def edit_ratio(a: Column, b: Column) -> Column:
+    """1 minus the edit distance over the longer length."""
+    return 1 - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b)))
+
+
+def weighted_levels(levels: list[tuple[Column, Column]], weights: list[float]) -> Column:
+    """Jaccard at several levels of abstraction, weighted; two empty sets count as equal."""
+    return sum((w / sum(weights) * jaccard(a, b, empty=1.0) for (a, b), w in zip(levels, weights)), F.lit(0.0))
+
+
+def box_distance(shares: list[Column], lows: list[float], highs: list[float]) -> Column:
+    """L1 distance of shares to a box; 0 inside."""
+    parts = [F.greatest(lo - p, F.lit(0.0)) + F.greatest(p - hi, F.lit(0.0)) for p, lo, hi in zip(shares, lows, highs)]
+    return sum(parts, F.lit(0.0))
+
+
+def energy_shares(protein: Column, fat: Column, carb: Column) -> list[Column]:
+    """Energy shares of protein, fat and carbohydrate; 0 without energy."""
+    total = kcal(protein, fat, carb)
+    grams = {"protein": protein, "fat": fat, "carb": carb}
+    return [F.when(total <= 0, 0.0).otherwise(F.try_divide(g * KCAL_PER_GRAM[n], total)) for n, g in grams.items()]
+
+
+def logistic_badness(z: Column, steepness: float = 1.5, middle: float = 2.0) -> Column:
+    """0 to 1 by a logistic curve; the exponent is held within 60."""
+    t = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), steepness * (z - middle)))
+    return 1 / (1 + F.exp(-t))
+
+
 def unit_size(unit: Column, sizes: dict[str, float]) -> Column:
     """Base units in one ``unit``; null for unknown ones."""
     out = F.lit(None).cast("double")

@@ -13,7 +13,15 @@ VOLUME_UNITS = (
 )
 MASS_UNITS = r"(oz|ounce|ounces|lb|lbs|pound|pounds|g|gram|grams|kg|kilogram|mg|milligram)s?"
 IRREGULAR_PLURALS = {"leaves": "leaf", "tomatoes": "tomato", "potatoes": "potato", "cherries": "cherry", "berries": "berry"}
-STOP_WORDS = ("a", "an", "and", "the", "of", "or", "with", "in", "to", "for")
+STOP_WORDS = (
+    "a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "of", "on", "or", "per", "the", "to", "with", "without",
+    "optional", "desired", "taste", "garnish", "serving",
+)
+MEASURE_WORDS = (
+    r"\b(c|cup|cups|tbsp|tablespoon|tablespoons|tsp|teaspoon|teaspoons|oz|ounce|ounces|lb|lbs|pound|pounds|g|gram|grams|kg|ml|l|"
+    r"pkg|package|packages|can|cans|jar|jars)\b"
+)
+BRACKETS, NUMBERS, NOT_LETTERS = r"\([^)]*\)", r"\d+\s*/\s*\d+|\d+\.\d+|\d+", r"[^a-z\s]"
 CONTAINER_WORDS = (
     "pkg", "package", "can", "cans", "jar", "jars", "bottle", "bottles", "box", "boxes", "bag", "bags",
     "carton", "stick", "sticks", "slice", "slices", "piece", "pieces", "wedge", "wedges",
@@ -69,9 +77,9 @@ def tokens(text: Column, *, drop_stop: bool = True, drop_containers: bool = True
 
 
 def clean_ingredient(text: Column) -> Column:
-    """Lower case without parentheses, numbers and anything but letters."""
+    """Lower case without parentheses, numbers, unit words and anything but letters."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    for pattern in (r"\([^)]*\)", r"\d+\s*/\s*\d+|\d+\.\d+|\d+", r"[^a-z\s]"):
+    for pattern in (BRACKETS, NUMBERS, MEASURE_WORDS, NOT_LETTERS):
         t = F.regexp_replace(t, pattern, " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
@@ -91,6 +99,18 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
+def display_label(text: Column) -> Column:
+    """Without parentheses, digits and dashes; null if nothing is left."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(text), BRACKETS, ""), r"\d+", ""), "[-–—]", " ")
+    return F.nullif(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(""))
+
+
+def joined_label(*parts: Column) -> Column:
+    """The parts that are not blank, trimmed, with bars between; null if there are none."""
+    full = [F.nullif(F.trim(p), F.lit("")) for p in parts]
+    return F.nullif(F.concat_ws(" | ", *full), F.lit(""))
+
+
 def link_domain(url: Column) -> Column:
     """Host of a url without ``www.``."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import ranking_queries, relational_queries, report_queries
+from millrace.plans import ranking_queries, relational_queries, report_queries, scalar_queries, vector_queries
 
 FLAGSHIP = "p7_recipe_nutrients"
-QUERIES = {**relational_queries.QUERIES, **report_queries.QUERIES, **ranking_queries.QUERIES}
-ORACLE_SQL = {**relational_queries.SQL, **report_queries.SQL, **ranking_queries.SQL}
+_MODULES = (relational_queries, report_queries, ranking_queries, scalar_queries, vector_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

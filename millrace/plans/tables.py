@@ -46,3 +46,17 @@ def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leaf(column: str) -> Column:
     """The ontology node of a supplier key."""
     return F.concat(F.lit("S"), F.col(column).cast("string"))
+
+
+# Ingredient lines as text are put together from these, by the keys of a line.
+AMOUNTS = ("1 1/2", "3/4", "two", "2.5", "12", "a", "some")
+UNIT_WORDS = ("cups", "tbsp", "oz.", "large", "cans", "T", "lbs", "pinch of", "")
+NOTES = ("", "(about 8 oz.)", ", chopped", "and salt", "(1 1/2 lbs)")
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recipe_id, line, food_id, source_id, description, raw: ingredient lines as text."""
+    pick = lambda words, c: F.array(*[F.lit(w) for w in words])[F.pmod(F.col(c), F.lit(len(words))).cast("int")]
+    raw = F.concat_ws(" ", pick(AMOUNTS, "food_id"), pick(UNIT_WORDS, "source_id"), "description", pick(NOTES, "recipe_id"))
+    lines = recipe_lines(spark, sf_dir).join(foods(spark, sf_dir).select("food_id", "description"), "food_id")
+    return lines.select("recipe_id", "line", "food_id", "source_id", "description", F.trim(F.regexp_replace(raw, " +", " ")).alias("raw"))

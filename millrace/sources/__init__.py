@@ -1 +1 @@
-"""sources."""
+"""Readers, writers and table upkeep."""

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming over logs."""
