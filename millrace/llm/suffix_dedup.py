@@ -3,19 +3,19 @@
 A suffix is compared through its first ``depth`` bytes only.  Sorting all suffixes would shuffle a row a
 byte, so the first, most significant digit is one that few suffixes carry: the gram of ``GRAM`` bytes with the
 least hash among those of a window of ``depth`` bytes (leftmost on ties), which equal windows share at the
-same place.  Consecutive windows with the same such gram form a segment, some 18 of them on average.
+same place.  Consecutive windows with the same such gram form a segment, some 15 of them on average.
 
 * Pass one orders segments by their gram, then by all their bytes.  A gram met once ends here.  Segments
   equal in all bytes are one group: its windows repeat in every document but the first.
 * Where a gram has unequal segments, their windows go on to pass two, one for each group of equal segments,
   and are ordered by all ``depth`` bytes; equal groups there are exactly the repeated windows.
 
-Digits travel as hashes: 40 bits and the shard's for the order, 64 more that must agree for a group to be
-equal.  Documents are written as blocks of some ``BLOCK_BYTES`` first, so that a block has a name that survives
+Digits travel as hashes: 40 bits and the shard's for the order, 32 more that must agree for a group to be
+equal; the shard's bits grow with the input, to some 95 in all at 100 TB.  Documents are written as blocks of some ``BLOCK_BYTES`` first, so that a block has a name that survives
 lost executors.  Each block sends at most one entry for a digit and group (``MANY`` groups of a
 digit, beyond that one mark that sends all its windows to pass two), so a hot gram
 or copies in a third of all documents cost one entry a block.  Answers return to the blocks, whose compressed
-text moves twice.
+text moves once, for both passes.
 
 Defined results: null text is empty; matches never cross documents; rows that share an id do not repeat each
 other; rows without an id come after all others and do not repeat each other; texts shorter than ``depth``
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from millrace.llm._scratch import materialize, tidy
 
 DEPTH = 50
-GRAM = 16
+GRAM = 20
 BLOCK_BYTES = 2 << 20
 #: Windows worked on together; a longer text is cut, windows are not.
 SLICE_BYTES = 1 << 20
@@ -49,6 +49,7 @@ MANY = 16
 NO_ID = np.iinfo(np.int64).max
 
 _U = np.uint64
+_CHECK = _U(0xFFFFFFFF)
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, (2, 257), dtype=np.uint64)
 
 
@@ -124,7 +125,7 @@ def segments(data: np.ndarray, lengths: np.ndarray, depth: int) -> Iterator[dict
             "end": stop_at + 1 + first,
             "doc": doc[begin],
             "gram": order[least[begin]],
-            "check": two.stretches(begin, stop_at + depth) | _U(1),
+            "check": two.stretches(begin, stop_at + depth) & _CHECK | _U(1),
             "rolling": (one, two, first),
         }
 
@@ -252,6 +253,10 @@ class _Block:
         self.data = np.frombuffer(pa.decompress(row["text"], decompressed_size=row["size"], codec="zstd", asbytes=True), np.uint8) if row["size"] else np.zeros(0, np.uint8)
         self.offsets = np.cumsum(self.lengths) - self.lengths
 
+    def documents(self, at: np.ndarray) -> np.ndarray:
+        """The document of each byte."""
+        return np.searchsorted(np.cumsum(self.lengths), at, "right")
+
     def first_pass(self) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...], np.ndarray]:
         """All segments; the entries they come down to; the entry of each segment."""
         found = [{k: v for k, v in s.items() if k != "rolling"} for s in segments(self.data, self.lengths, self.depth)]
@@ -280,7 +285,7 @@ class _Block:
                 piece = self.data[a : b + self.depth - 1]
                 starts.append(here)
                 one.append(_Rolling(piece, 0).stretches(here - a, here - a + self.depth))
-                two.append(_Rolling(piece, 1).stretches(here - a, here - a + self.depth) | _U(1))
+                two.append(_Rolling(piece, 1).stretches(here - a, here - a + self.depth) & _CHECK | _U(1))
         return np.concatenate(starts), np.concatenate(one), np.concatenate(two)
 
 
@@ -288,12 +293,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(block, ids, lengths, size, text): documents in blocks, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=6)
         base, count, held, ids, texts = TaskContext.get().partitionId() << 32, 0, 0, [], []
 
         def block() -> pa.RecordBatch:
             data = b"".join(texts)
             lengths = np.array([len(t) for t in texts], np.int64)
-            row = {"block": base + count, "ids": np.array(ids, np.int64).tobytes(), "lengths": lengths.tobytes(), "size": len(data), "text": pa.compress(data, codec="zstd", asbytes=True) if data else b""}
+            row = {"block": base + count, "ids": np.array(ids, np.int64).tobytes(), "lengths": lengths.tobytes(), "size": len(data), "text": codec.compress(data, asbytes=True) if data else b""}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("size", pa.int64()), ("text", pa.binary())]))
 
         for batch in batches:
@@ -323,7 +329,7 @@ def repeated_bytes(docs: DataFrame, make: Callable, schema: str, id_col: str = "
     """``make(id, text bytes, removed mask)`` per document, a row of ``schema`` each."""
     blocks = _blocks(docs, id_col, text_col)
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // (SHARD_ENTRIES * 18)))
+    shards = max(1, -(-total // (SHARD_ENTRIES * 15)))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def first_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,49 +340,39 @@ def repeated_bytes(docs: DataFrame, make: Callable, schema: str, id_col: str = "
                 if len(entries[0]):
                     yield from _packed(block.number, *entries, shards).to_batches()
 
-    first = answered(blocks.mapInArrow(tidy(first_entries), _ENTRY_SCHEMA))
+    first = materialize(answered(blocks.mapInArrow(tidy(first_entries), _ENTRY_SCHEMA)), "first-answers")
+
+    def judged(block: _Block, table: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        """Stretches that pass one decides, as first bytes and ends, and the windows that it leaves open."""
+        every, (key, check, _, _), group = block.first_pass()
+        head, split = _answers(table, key, check, shards)
+        gone = (block.ids[every["doc"]] > head[group]) & (check[group] != 0)
+        return every["first"][gone], every["end"][gone] + depth - 1, block.windows(np.flatnonzero(split[group] & ~gone), every)
 
     def second_entries(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Decided stretches and open windows of a block under shard -1, and the open windows' entries."""
         block = _Block(left, depth)
-        every, (key, check, low, high), group = block.first_pass()
-        head, split = _answers(right, key, check, shards)
-        ids = block.ids[every["doc"]]
-        marked = check[group] == 0 if len(key) else np.zeros(0, bool)
-        gone = (ids > head[group]) & ~marked
-        opened = np.flatnonzero(split[group] & ~gone)
-        start, one, two = block.windows(opened, every)
-        doc = np.searchsorted(np.cumsum(block.lengths), start, "right")
-        stretch = (every["first"][gone], every["end"][gone] + depth - 1)
-        stretch = [x.astype(np.int64).view(np.uint64) for x in stretch]
-        state = [_squeezed(*stretch), _squeezed(start.astype(np.int64).view(np.uint64), one, two)]
-        rows = pa.Table.from_arrays([pa.array([block.number] * 2), pa.array([-1, -2]), pa.array(state, pa.binary())], names=["block", "shard", "entries"])
-        if not len(start):
-            return rows
-        key, check, low, high, _ = _merged(one, two, block.ids[doc], block.ids[doc])
-        return pa.concat_tables([rows, _packed(block.number, key, check, low, high, shards)])
-
-    opened = materialize(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(second_entries, _ENTRY_SCHEMA), "open-windows")
-    second = answered(opened.where("shard >= 0"))
-    state = opened.where("shard < 0").select("block", "shard", F.col("entries").alias("answers")).unionByName(second)
+        start, one, two = judged(block, right)[2]
+        ids = block.ids[block.documents(start)]
+        return _packed(block.number, *_merged(one, two, ids, ids)[:4], shards)
+
+    by_block = blocks.groupBy("block")
+    second = answered(by_block.cogroup(first.groupBy("block")).applyInArrow(second_entries, _ENTRY_SCHEMA))
+    both = first.withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2)))
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         block = _Block(left, depth)
-        held = {n: x for n, x in zip(right["shard"].to_pylist(), right["answers"].to_pylist()) if n < 0}
-        begin, end = (x.view(np.int64) for x in _spread(held[-1], 2))
-        start, one, two = _spread(held[-2], 3)
-        start = start.view(np.int64)
-        doc = np.searchsorted(np.cumsum(block.lengths), start, "right")
-        key, check, _, _, group = _merged(one, two, block.ids[doc], block.ids[doc])
-        head, _ = _answers(right.filter(pc.greater_equal(right["shard"], 0)), key, check, shards)
-        gone = start[block.ids[doc] > head[group]] if len(start) else start
+        begin, end, (start, one, two) = judged(block, right.filter(pc.equal(right["pass"], 1)))
+        ids = block.ids[block.documents(start)]
+        key, check, _, _, group = _merged(one, two, ids, ids)
+        head, _ = _answers(right.filter(pc.equal(right["pass"], 2)), key, check, shards)
+        gone = start[ids > head[group]] if len(start) else start
         mask = _covered(np.concatenate([begin, gone]), np.concatenate([end, gone + depth]), len(block.data))
         out = []
         for doc_id, at, size in zip(block.ids.tolist(), block.offsets.tolist(), block.lengths.tolist()):
             out.append(make(None if doc_id == NO_ID else doc_id, block.data[at : at + size], mask[at : at + size]))
         return pa.Table.from_pylist([dict(zip(names, row)) for row in out], schema=pa.schema([(n, _TYPES[c.split()[1]]) for n, c in zip(names, schema.split(", "))]))
 
-    return blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(last, schema)
+    return by_block.cogroup(both.groupBy("block")).applyInArrow(last, schema)
 
 
 _TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
