@@ -43,6 +43,44 @@ def neighbours(vectors: DataFrame, k: int, least: float, key: str = "id", vector
     return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias(key), "match", "similarity")
 
 
+def within(queries: DataFrame, rows: DataFrame, least: float = -1.0, query: tuple[str, str] = ("query_id", "vector"), row: tuple[str, str] = ("id", "vector"), k: int | None = None) -> DataFrame:
+    """(query key, row key, similarity): all pairs of a query and a row with a cosine of ``least`` or more;
+    with ``k`` the k nearest of them for each query, of equal ones those of lesser key.
+
+    ``query`` and ``row`` name the key (a whole number) and the vector of each side.  Exact: each block of
+    queries meets each block of rows in one product of matrices; vectors of zeros are at 0 from all.  Rows
+    are sent once for each block of queries, so this is for stated query sets.  Similarities are rounded to
+    eight places.
+    """
+    named = lambda df, names: df.select(F.col(names[0]).cast("long").alias("id"), F.transform(names[1], lambda x: x.cast("double")).alias("vector")).where("vector is not null")
+    sides = named(queries, query), named(rows, row)
+    blocks = [max(1, -(-side.count() // BLOCK_ROWS)) for side in sides]
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sides[0].select("*", block(blocks[0]).alias("a"), every(blocks[1]).alias("b"))
+    right = sides[1].select("*", block(blocks[1]).alias("b"), every(blocks[0]).alias("a"))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"q": [], "r": [], "similarity": []})
+        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        products = np.round(unit(np.stack(x["vector"])) @ unit(np.stack(y["vector"])).T, 8)
+        good = products >= least
+        if k is not None and k < products.shape[1]:
+            order = np.lexsort((np.broadcast_to(y["id"].to_numpy(), products.shape), -products), axis=1)[:, :k]
+            near = np.zeros_like(good)
+            np.put_along_axis(near, order, True, axis=1)
+            good &= near
+        at, to = np.nonzero(good)
+        return pd.DataFrame({"q": x["id"].to_numpy()[at], "r": y["id"].to_numpy()[to], "similarity": products[at, to]})
+
+    cells = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, "q long, r long, similarity double")
+    if k is not None:
+        nearest_first = Window.partitionBy("q").orderBy(F.desc("similarity"), "r")
+        cells = cells.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+    return cells.select(F.col("q").alias(query[0]), F.col("r").alias(row[0]), "similarity")
+
+
 def centroids(vectors: DataFrame, group: str, vector: str, dimensions: int) -> DataFrame:
     """(group, centroid): the mean of each group's vectors at length one, combined on the map side."""
     means = vectors.groupBy(group).agg(F.array(*[F.avg(F.col(vector)[k].cast("double")) for k in range(dimensions)]).alias("mean"))
