@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -21,3 +22,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
             base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for tables of this application, below the one that ``spark.checkpoint.dir`` names; only a
+    local session without that setting uses a folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"

@@ -76,7 +76,7 @@ def shell(
     """
     sizes = core.groupBy("problem").agg(F.count(F.lit(1)).alias("n_core")).where(F.col("n_core") < target_n)
     thin = checkpointed(core.join(sizes.select("problem"), "problem", "left_semi"))
-    sets = leaves.groupBy("recipe_id").agg(F.collect_set("leaf").alias("items"))
+    sets = checkpointed(leaves.groupBy("recipe_id").agg(F.collect_set("leaf").alias("items")))
     means = thin.join(recipe_vectors, "recipe_id").groupBy("problem").agg(F.array(*[F.avg(F.col("vector")[k].cast("double")) for k in range(dimensions)]).alias("mean"))
     centroids = checkpointed(means.where(scores.dot(F.col("mean"), F.col("mean")) > 0))
     core_sets = thin.join(sets, "recipe_id").join(centroids.select("problem", F.lit(True).alias("has_centroid")), "problem", "left")
@@ -87,7 +87,7 @@ def shell(
         near = vec.within(centroids.select("problem", "mean"), recipe_vectors, floor / VECTOR_WEIGHT - 1e-6, ("problem", "mean"), ("recipe_id", "vector"))
         near = near.join(sets.select("recipe_id"), "recipe_id", "left_semi").select("problem", "recipe_id", F.lit(0.0).alias("foodon"))
         met = met.unionByName(near).groupBy("problem", "recipe_id").agg(F.max("foodon").alias("foodon"))
-    met = met.join(thin, ["problem", "recipe_id"], "left_anti")
+    met = checkpointed(met.join(thin, ["problem", "recipe_id"], "left_anti"))
     anchor = anchors(thin, rolled)
     shared = met.select("problem", "recipe_id").join(rolled, "recipe_id").join(anchor, ["problem", "node"]).groupBy("problem", "recipe_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n_anchors").alias("n_anchors"))
     met = met.join(shared.where(F.col("shared") >= F.least(F.lit(ANCHOR_OVERLAP), "n_anchors")).select("problem", "recipe_id"), ["problem", "recipe_id"])

@@ -50,10 +50,10 @@ def x18_hull_context(spark, sf_dir):
     # equal scores are counted before they meet, so a group is as long as its distinct scores
     counted = rows.join(owner, "recipe_id").groupBy("problem", "outside_score").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("share_inside") > 0).alias("hits"))
     at = lambda q: F.round(F.percentile("outside_score", q, F.col("n")), 8)
-    share = F.sum("hits") / F.sum("n")
+    share, micro = F.sum("hits") / F.sum("n"), F.round(F.col("outside_score") * 1e6).cast("long")
     out = counted.groupBy("problem").agg(
         F.sum("n").alias("n_recipes"), F.sum("hits").alias("n_hits"), F.round(share, 6).alias("share"), at(0.5).alias("median_outside"),
-        F.round(F.sum(F.col("outside_score") * F.col("n")) / F.sum("n"), 6).alias("mean_outside"), at(0.75).alias("p75_outside"),
+        (F.sum(micro * F.col("n")) / F.sum("n") / 1e6).alias("mean_outside"), at(0.75).alias("p75_outside"),
         F.min("outside_score").alias("min_outside"), F.max("outside_score").alias("max_outside"),
     )
     return out.withColumn("level", hulls.stretch_level(F.col("n_hits") / F.col("n_recipes"), F.col("median_outside")))
@@ -164,7 +164,7 @@ basin AS (SELECT *, (SELECT round(quantile_cont(loss, 0.25), 8) FROM lattice)::D
 SQL = {
     "v19_recipe_hulls": f"WITH {_HULLS} SELECT * FROM box",
     "x18_hull_context": f"""WITH {_HULLS}, g AS (SELECT o_custkey AS problem, count(*) AS n_recipes, count(*) FILTER (WHERE share_inside > 0) AS n_hits, round(quantile_cont(outside_score, 0.5), 8)::DOUBLE AS median_outside,
-  round(avg(outside_score), 6)::DOUBLE AS mean_outside, round(quantile_cont(outside_score, 0.75), 8)::DOUBLE AS p75_outside, min(outside_score) AS min_outside, max(outside_score) AS max_outside FROM box JOIN orders ON o_orderkey = recipe_id GROUP BY 1)
+  sum(round(outside_score * 1e6)::BIGINT) / count(*) / 1e6::DOUBLE AS mean_outside, round(quantile_cont(outside_score, 0.75), 8)::DOUBLE AS p75_outside, min(outside_score) AS min_outside, max(outside_score) AS max_outside FROM box JOIN orders ON o_orderkey = recipe_id GROUP BY 1)
 SELECT *, round(n_hits / n_recipes, 6)::DOUBLE AS share, CASE WHEN n_hits / n_recipes >= 0.65 AND median_outside < 0.025 THEN 'in_hull' WHEN n_hits / n_recipes >= 0.35 OR median_outside < 0.06 THEN 'edge' ELSE 'outside_hull' END AS level FROM g""",
     "v20_loss_lattice": f"WITH {_FIELD} SELECT i, j, loss FROM lattice",
     "v20_box_minima": f"""WITH {_FIELD}, m AS (SELECT box_id, min({{'loss': loss, 'i': i, 'j': j}}) AS b FROM boxes JOIN lattice ON i BETWEEN p_low AND p_high AND j BETWEEN c_low AND c_high AND {STEPS} - i - j BETWEEN f_low AND f_high GROUP BY 1)

@@ -68,9 +68,9 @@ SQL = {
     "t3_index_search": f"WITH {_PAIRS} SELECT query_id, id, overlap::INT AS overlap, round(score, 6) AS score, rank::INT AS rank FROM top",
     "v6_union_retrieval": f"""WITH {_PAIRS}, near AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM sem WHERE nth <= 50),
 both_ AS (SELECT query_id, id FROM top UNION SELECT query_id, id FROM near WHERE (place <= 15 OR similarity >= 0.55) AND query_id IN (SELECT query_id FROM nq)),
-rows_ AS (SELECT query_id, id, same, round(coalesce(score, 0), 6)::DOUBLE AS lexical, coalesce(similarity, 0)::DOUBLE AS semantic,
-  round(0.55 * coalesce(similarity, 0) + 0.45 * round(coalesce(score, 0), 6), 6)::DOUBLE AS retrieval
-  FROM both_ LEFT JOIN (SELECT query_id, id, score FROM lex) USING (query_id, id) LEFT JOIN near USING (query_id, id) LEFT JOIN (SELECT id, same FROM nd) USING (id)),
+rows_ AS (SELECT query_id, id, same, round(coalesce(exact, 0), 6)::DOUBLE AS lexical, coalesce(similarity, 0)::DOUBLE AS semantic,
+  round(0.55 * coalesce(similarity, 0) + 0.45 * round(coalesce(exact, 0), 6), 6)::DOUBLE AS retrieval
+  FROM both_ LEFT JOIN (SELECT query_id, id, 1.25 * overlap / (0.25 * n + size) AS exact FROM lex) USING (query_id, id) LEFT JOIN near USING (query_id, id) LEFT JOIN (SELECT id, same FROM nd) USING (id)),
 kept AS (SELECT * FROM rows_ QUALIFY same IS NULL OR row_number() OVER (PARTITION BY query_id, same ORDER BY retrieval DESC, id) = 1)
 SELECT query_id, id, lexical, semantic, retrieval, row_number() OVER (PARTITION BY query_id ORDER BY retrieval DESC, id)::INT AS rank,
   row_number() OVER (PARTITION BY query_id ORDER BY retrieval DESC, id) <= 15 AS in_prompt FROM kept""",
