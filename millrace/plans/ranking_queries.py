@@ -99,7 +99,7 @@ def t10_three_tiers(spark, sf_dir):
 def t12_viable_swap(spark, sf_dir):
     """Per source the ten heaviest lines with at least seven of status A, if it has as many: the last
     others give way to the next of status A."""
-    lines = recipe_lines(spark, sf_dir).where("source_id % 4 = 0")
+    lines = recipe_lines(spark, sf_dir)
     order = [F.desc("grams"), F.asc("recipe_id"), F.asc("line"), F.asc("food_id")]
     every = Window.partitionBy("source_id").orderBy(*order)
     kind = Window.partitionBy("source_id", "viable").orderBy(*order)
@@ -271,11 +271,17 @@ def x6_labels_and_more(spark, sf_dir):
 
 
 def x11_missing_nodes(spark, sf_dir):
-    """Per recipe of the first customers the three most used brands that it lacks."""
+    """Per recipe the three most used brands that it lacks: of the brands by use, the first (brands that the
+    recipe has) + 3 hold them, so no recipe meets all brands."""
     hits = recipe_lines(spark, sf_dir).join(foods(spark, sf_dir).select("food_id", "brand"), "food_id").select("recipe_id", "brand").distinct()
     popular = hits.groupBy("brand").agg(F.count(F.lit(1)).alias("hits"))
-    recipes = table(spark, sf_dir, "orders").where("o_custkey < 40").select(F.col("o_orderkey").alias("recipe_id"))
-    lacking = recipes.join(F.broadcast(popular)).join(hits, ["recipe_id", "brand"], "left_anti")
+    has = hits.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("has"))
+    most = has.agg(F.max("has")).first()[0] or 0
+    first = popular.orderBy(F.desc("hits"), "brand").limit(most + 3)  # as many rows as the largest recipe has, and 3
+    first = first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hits"), "brand")))
+    recipes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recipe_id")).join(has, "recipe_id", "left")
+    near = recipes.join(F.broadcast(first), F.col("place") <= F.coalesce("has", F.lit(0)) + 3)
+    lacking = near.join(hits, ["recipe_id", "brand"], "left_anti")
     return rel.top_k(lacking, ["recipe_id"], [F.desc("hits"), F.asc("brand")], 3).select("recipe_id", "brand", "hits")
 
 
@@ -339,7 +345,7 @@ r AS (SELECT food_id, brand, row_number() OVER (PARTITION BY brand ORDER BY food
 SELECT food_id, brand, tier FROM t WHERE tier IS NOT NULL UNION ALL SELECT food_id, brand, 'top-up' FROM r JOIN h USING (brand) WHERE r <= 10 - have""",
     "t12_viable_swap": """
 WITH r AS (SELECT l_suppkey AS source_id, l_orderkey AS recipe_id, l_linenumber AS line, l_partkey AS food_id, l_returnflag = 'A' AS viable, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS place,
-  row_number() OVER (PARTITION BY l_suppkey, l_returnflag = 'A' ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS among FROM lineitem WHERE l_suppkey % 4 = 0),
+  row_number() OVER (PARTITION BY l_suppkey, l_returnflag = 'A' ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS among FROM lineitem),
 c AS (SELECT source_id, greatest(count(*) FILTER (viable AND place <= 10), least(7, count(*) FILTER (viable))) AS wanted FROM r GROUP BY 1)
 SELECT source_id, recipe_id, line, food_id, viable FROM r JOIN c USING (source_id) WHERE among <= CASE WHEN viable THEN wanted ELSE 10 - wanted END""",
     "t13_best_band_median": """
@@ -386,7 +392,7 @@ WITH s AS (SELECT l_orderkey AS recipe_id, list_sort(list(DISTINCT p_name)) AS s
 SELECT recipe_id, array_to_string(s[1:3], ', ') || CASE WHEN len(s) > 3 THEN ', +' || (len(s) - 3) || ' more' ELSE '' END AS labels FROM s""",
     "x11_missing_nodes": """
 WITH h AS (SELECT DISTINCT l_orderkey AS r, p_brand AS brand FROM lineitem JOIN part ON p_partkey = l_partkey), p AS (SELECT brand, count(*) AS hits FROM h GROUP BY 1),
-x AS (SELECT o_orderkey AS recipe_id, p.* FROM orders, p WHERE o_custkey < 40 AND NOT EXISTS (SELECT 1 FROM h WHERE h.r = o_orderkey AND h.brand = p.brand))
+x AS (SELECT o_orderkey AS recipe_id, p.* FROM orders, p WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.r = o_orderkey AND h.brand = p.brand))
 SELECT recipe_id, brand, hits FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY hits DESC, brand) AS n FROM x) WHERE n <= 3""",
     "x19_step_deltas": "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS delta FROM events",
     "x20_clear_favourite": """
