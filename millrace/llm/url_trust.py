@@ -1,16 +1,22 @@
 """URL filtering: rules first, then trust and distrust propagated over host links.
 
 Rules are (host, path prefix) pairs; the longest that fits a url decides.  For the rest, two
-personalised PageRanks run over the host graph: trust flows along links from hosts by the share of
-their pages that rules allow, distrust flows against links from hosts by the share that rules
-block.  A host is blocked when distrust is at least ``threshold`` of its trust and distrust together
-and exceeds its trust.  Both ranks weigh a host's own seed alike, with links or without, and go on
-until each rank holds relative to itself, so how many hosts share a link's vote does not matter.
-Pages and links are summed per host on the map side; only host tables take part in the iteration.
+personalised PageRanks run over the host graph.  Trust flows along links from hosts by the share of
+their pages that rules allow; a host divides its trust among its links.  Distrust flows against
+links from hosts by the share that rules block; a linker takes the mean distrust over its own
+links, weighted by the share of its pages that no rule blocks, so one bad link among many good ones
+counts for little and the number of other linkers for nothing.  That makes distrust the chance that
+a reader who starts on the host and follows links with chance ``damping`` meets a blocked page.
+Both ranks count a host's own share once, with links or without.  A host is blocked when its
+distrust is at least ``threshold`` and above its trust.  Pages and links are summed per host on the
+map side; only host tables take part in the iteration, which ends when no rank moves by more than
+one in 100,000, after some 80 rounds at most, however long the chains of links are.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is
 allowed unless distrust reaches the empty host; null html has no links; links that are relative or
-lead to the own host carry no vote; an empty table gives an empty result; further columns are ignored.
+lead to the own host carry no vote; repeated rows count each in their host's shares and links, and
+each get their row; hosts whose distrust equals their trust are allowed; html of any length is
+searched whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._scratch import materialize
+from millrace.llm._scratch import discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,27 +69,38 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
 
 
 def personalised_rank(
-    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, settle: bool = False
+    seeds: DataFrame,
+    edges: DataFrame,
+    damping: float = 0.85,
+    rounds: int = 30,
+    tolerance: float = 1e-6,
+    settle: bool = False,
+    floor: float = 0.0,
 ) -> DataFrame:
     """(host, rank): the fixed point of ``rank = (1-d) * seed + d * inflow``; hosts that nobody
-    links to keep their seed.  seeds: (host, seed); edges: (src, dst, links).
+    links to keep their seed.  seeds: (host, seed); edges: (src, dst, links), where each host divides
+    its rank among its links, or (src, dst, share) with the shares that flow.
 
     Stops when no rank moves by more than ``tolerance`` or after ``rounds``; each round is written
     to the shared scratch folder, so that neither the plan nor a lost executor's work grows.
 
     With ``settle`` the formula holds for hosts that nobody links to as well, and rounds go on, as
-    many as it takes, until no rank moves by more than ``tolerance`` times itself.
+    many as it takes, until no rank moves by more than ``tolerance`` times itself, moves of at most
+    ``floor`` aside.  Tables of past rounds are deleted.
     """
-    out_links = edges.groupBy("src").agg(F.sum("links").alias("out_links"))
-    weights = materialize(
-        edges.join(out_links, "src").select("src", "dst", (F.col("links") / F.col("out_links")).alias("share")), "edges"
-    )
+    if "share" in edges.columns:
+        shares = edges.select("src", "dst", "share")
+    else:
+        out_links = edges.groupBy("src").agg(F.sum("links").alias("out_links"))
+        shares = edges.join(out_links, "src").select("src", "dst", (F.col("links") / F.col("out_links")).alias("share"))
+    weights = materialize(shares, "edges")
     linked = weights.select(F.col("dst").alias("host")).distinct().withColumn("linked", F.lit(True))
     base = materialize(seeds.join(linked, "host", "left").select("host", "seed", F.coalesce("linked", F.lit(settle)).alias("linked")), "seeds")
     # with settle, ranks grow from below: a host that no seed reaches stays at exactly 0
     rank = base.select("host", ((1 - damping) * F.col("seed") if settle else F.col("seed")).alias("rank"))
     if weights.isEmpty():
         return rank
+    last = None
     for _ in itertools.count() if settle else range(rounds):
         inflow = (
             weights.join(rank, F.col("src") == F.col("host"))
@@ -103,8 +120,11 @@ def personalised_rank(
         )
         moved = materialize(moved, "rank")
         change = F.abs(F.col("rank") - F.col("old"))
-        step = moved.agg(F.max(F.when(F.col("rank") > 0, change / F.col("rank")) if settle else change)).first()[0]
+        step = moved.agg(F.max(F.when((F.col("rank") > 0) & (change > floor), change / F.col("rank")) if settle else change)).first()[0]
         rank = moved.select("host", "rank")
+        if last is not None:
+            discard(last)
+        last = moved
         if step is None or step <= tolerance:
             break
     return rank
@@ -117,6 +137,7 @@ def judge_urls(
     url_col: str = "url",
     html_col: str = "html",
     threshold: float = 0.5,
+    damping: float = 0.85,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust."""
     seen = pages.select(
@@ -133,13 +154,20 @@ def judge_urls(
         on_page.join(ends, "host", "full_outer").select("host", F.coalesce("allowed", F.lit(0.0)).alias("allowed"), F.coalesce("blocked", F.lit(0.0)).alias("blocked")),
         "hosts",
     )
-    trust = personalised_rank(hosts.select("host", F.col("allowed").alias("seed")), edges, settle=True)
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = personalised_rank(hosts.select("host", F.col("blocked").alias("seed")), against, settle=True)
+    settled = {"damping": damping, "settle": True, "floor": 1e-5 * (1 - damping)}
+    own = 1 - damping  # the weight of a host's own share inside a rank
+    trust = personalised_rank(hosts.select("host", F.col("allowed").alias("seed")), edges, **settled)
+    out_links = edges.groupBy("src").agg(F.sum("links").alias("out_links"))
+    against = (
+        edges.join(out_links, "src")
+        .join(hosts.select(F.col("host").alias("src"), "blocked"), "src")
+        .select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("links") / F.col("out_links") * (1 - F.col("blocked"))).alias("share"))
+    )
+    distrust = personalised_rank(hosts.select("host", F.col("blocked").alias("seed")), against, **settled)
     judged = (
-        trust.withColumnRenamed("rank", "trust")
-        .join(distrust.withColumnRenamed("rank", "distrust"), "host")
-        .withColumn("host_verdict", F.when((F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow"))
+        trust.select("host", (F.col("rank") / own).alias("trust"))
+        .join(distrust.select("host", (F.col("rank") / own).alias("distrust")), "host")
+        .withColumn("host_verdict", F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow"))
     )
     return (
         seen.drop("html")

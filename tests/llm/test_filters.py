@@ -1,5 +1,6 @@
 """Personal data, urls, chat and the pipeline."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -183,6 +184,86 @@ def test_rank_settles_relative_to_itself(spark):
     assert {r["host"]: r["rank"] for r in found.collect()} == pytest.approx(want, rel=1e-5, abs=0)
 
 
+def judged(spark, pages):
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r for r in url_trust.judge_urls(table, URL_RULES).collect()}
+
+
+def anchors(*hosts):
+    return " ".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+
+
+def brute_verdicts(pages):
+    """verdict, trust and distrust per page by plain loops; 400 rounds from zero."""
+    seen, links, shares = [], {}, {}
+    for url, html in pages:
+        found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (found[1].lower(), found[2]) if found else ("", "")
+        fits = [(len(h + p), v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        seen.append((host, max(fits)[1] if fits else None))
+        for to in re.findall(r'href="http://([^/"]*)/', html or ""):
+            if to != host:
+                links.setdefault(host, []).append(to)
+    hosts = {h for h, _ in seen} | {t for to in links.values() for t in to}
+    for h in hosts:
+        verdicts = [v for at, v in seen if at == h]
+        shares[h] = [verdicts.count(v) / max(1, len(verdicts)) for v in ("allow", "block")]
+    trust, distrust = dict.fromkeys(hosts, 0.0), dict.fromkeys(hosts, 0.0)
+    for _ in range(400):
+        flow = dict.fromkeys(hosts, 0.0)
+        for h, to in links.items():
+            for t in to:
+                flow[t] += trust[h] / len(to)
+        trust = {h: shares[h][0] + 0.85 * flow[h] for h in hosts}
+        mean = {h: sum(distrust[t] for t in links[h]) / len(links[h]) if h in links else 0.0 for h in hosts}
+        distrust = {h: shares[h][1] + 0.85 * (1 - shares[h][1]) * mean[h] for h in hosts}
+    bad = {h for h in hosts if distrust[h] >= 0.5 and distrust[h] > trust[h]}
+    return [(v or ("block" if h in bad else "allow"), trust[h], distrust[h]) for h, v in seen]
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_verdicts_equal_brute_force(spark, seed):
+    dice = random.Random(seed)
+    names = ["a.net", "b.example.net", "example.com", "x.org", "y.org", *(f"h{k}.io" for k in range(14))]
+    pages = [(None, None), ("no scheme", anchors("a.net"))]
+    for _ in range(90):
+        host = dice.choice(names)
+        pages.append((f"http://{host}/{dice.choice(['en/', 'de/', 'fr/', ''])}p", anchors(*dice.choices(names[:4] + names[dice.randrange(14):], k=dice.randrange(4)))))
+    rows = judged(spark, pages + pages[:5])
+    want = brute_verdicts(pages + pages[:5])
+    assert [rows[k]["verdict"] for k in range(len(want))] == [w[0] for w in want] and len({w[0] for w in want}) == 2
+    for column, place in (("trust", 1), ("distrust", 2)):
+        assert [rows[k][column] for k in range(len(want))] == pytest.approx([w[place] for w in want], abs=1e-4)
+
+
+def test_one_bad_link_among_many_good_ones_is_allowed(spark):
+    pages = [("http://hub.io/", anchors("bad.net", *(f"good{k}.io" for k in range(60)))), ("http://fan.io/", anchors("hub.io")), ("http://bad.net/", None)]
+    rows = judged(spark, pages)
+    assert [rows[k]["verdict"] for k in range(3)] == ["allow", "allow", "block"]
+    assert rows[0]["distrust"] == pytest.approx(0.85 / 61, abs=1e-6)
+
+
+def test_few_blocked_pages_among_many_leave_the_host_alone(spark):
+    pages = [("http://blog.example.com/de/x", None)] * 2 + [("http://blog.example.com/x", None)] * 13
+    assert [r["verdict"] for r in judged(spark, pages).values()].count("block") == 2
+
+
+def test_distrust_fades_along_a_chain_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(url_trust, "materialize", lambda df, label, made=url_trust.materialize: (rounds.append(label), made(df, label))[1])
+    pages = [("http://bad.net/", None), *((f"http://c{k}.io/", anchors(f"c{k - 1}.io" if k > 1 else "bad.net")) for k in range(1, 13))]
+    rows = judged(spark, pages)
+    assert [rows[k]["verdict"] for k in range(13)] == ["block"] * 5 + ["allow"] * 8
+    assert rows[12]["distrust"] == pytest.approx(0.85**12, abs=1e-5) and rounds.count("rank") <= 15
+
+
+def test_trust_outweighs_distrust_and_shares_are_kept_apart(spark):
+    pages = [("http://a.org/fr/x", anchors("mixed.io")), ("http://b.org/fr/x", anchors("mixed.io")), ("http://mixed.io/", anchors("bad.net")), ("http://bad.net/", None)]
+    rows = judged(spark, pages)
+    assert rows[2]["trust"] == pytest.approx(1.7, abs=1e-5) and rows[2]["distrust"] == pytest.approx(0.85, abs=1e-5)
+    assert rows[2]["verdict"] == "allow"
+
+
 def test_chat_rotates_every_speaker(spark):
     turns = spark.createDataFrame(
         [(1, 0, "system", "s", 0), (1, 1, "ann", "hi <|im_end|>", 0), (1, 2, "bob", None, 0), (1, 2, None, "?", 0), (None, 1, "eve", "x", 0)],
