@@ -53,8 +53,8 @@ def _rows(spark, sf_dir):
 
 def p3_valid_pairs(spark, sf_dir):
     pairs = dedup_plan.unordered(vector_queries.v2_neighbour_pairs(spark, sf_dir), "vec_id")
-    rounded = [F.round(c, 6).alias(c) for c in ("similarity", "jaccard", "title", "hybrid")]
-    return dedup_plan.valid_pairs(pairs, _rows(spark, sf_dir), LEAST).select("a", "b", *rounded)
+    parts = [F.round(c, 6).alias(c) for c in ("similarity", "jaccard", "title")]
+    return dedup_plan.valid_pairs(pairs, _rows(spark, sf_dir), LEAST).select("a", "b", *parts, "hybrid")
 
 
 def p3_dedup_plan(spark, sf_dir):
@@ -83,7 +83,7 @@ _VALID = f"""{vector_queries._NEAR.replace("WITH", "WITH RECURSIVE", 1)}{_NAMES}
 once AS (SELECT least(vec_id, match) AS ea, greatest(vec_id, match) AS eb, max(similarity) AS similarity FROM near GROUP BY 1, 2),
 titled AS (SELECT ea, eb, similarity, {_JACCARD} AS jaccard, f1.t AS a, f2.t AS b FROM once JOIN f f1 ON f1.id = ea JOIN f f2 ON f2.id = eb),
 {_ratio_sql("titled")},
-valid AS (SELECT ea AS a, eb AS b, round(similarity, 6) AS similarity, round(jaccard, 6) AS jaccard, round(ratio / 100, 6) AS title, round(0.5 * similarity + 0.35 * jaccard + 0.15 * ratio / 100, 6)::DOUBLE AS hybrid
+valid AS (SELECT ea AS a, eb AS b, round(similarity, 6) AS similarity, round(jaccard, 6) AS jaccard, round(ratio / 100, 6) AS title, round(0.5 * similarity + 0.35 * jaccard + 0.15 * (ratio / 100), 8)::DOUBLE AS hybrid
   FROM ratios WHERE similarity >= {LEAST[0]} AND jaccard >= {LEAST[1]} AND round(0.5 * similarity + 0.35 * jaccard + 0.15 * ratio / 100, 8) >= {LEAST[2]})"""
 SQL = {
     "st19_token_set_ratio": f"WITH {_TERM_ROWS}, p AS (SELECT food_id, term, term AS a, d AS b FROM t), {_ratio_sql('p')} SELECT food_id, term, round(ratio, 6) AS ratio FROM ratios",
