@@ -428,7 +428,7 @@ def _chunked(docs: DataFrame) -> DataFrame:
                 sizes.append(len(words))
                 tokens.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 keys.append(xxhash.xxh3_64_intdigest(text.as_py() or "", len(words)) - (1 << 63))
-                held += len(words)
+                held += len(words) + 1  # a document without words counts too, so that chunks are bounded
                 if held > CHUNK_WORDS:
                     yield made()
                     index += 1

@@ -151,3 +151,10 @@ def test_pieces_are_lossless_and_repeatable(spark, parts):
 
 def test_pieces_query_is_lossless(spark):
     assert QUERIES["op3_sentencepiece"](spark, SF_DIR).where("not lossless").count() == 0
+
+
+def test_chunks_of_empty_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "CHUNK_WORDS", 100)
+    docs = spark.range(1000).coalesce(1).selectExpr("id", "cast(null as string) as text", "false as held_out")
+    sizes = [len(r["doc_ids"]) for r in gru_lm._chunked(docs).select("doc_ids").collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 101
