@@ -137,8 +137,9 @@ def ag36_robust_scale(spark, sf_dir):
 
 
 def ag39_spend_window(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-29 00:00:00' and ts < timestamp_ntz'2024-01-30 00:00:00'")
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("spend"), F.round(F.sum("value") / 1440, 6).alias("per_minute"))
+    """Spend of every day and kind of event, and its rate per minute of the day."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return events.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("spend"), F.round(F.sum("value") / 1440, 6).alias("per_minute"))
 
 
 def w2_dedupe_by_name(spark, sf_dir):
@@ -156,9 +157,8 @@ def w3_reverse_running_spend(spark, sf_dir):
 
 
 def w5_cumulative_share(spark, sf_dir):
-    counts = recipe_lines(spark, sf_dir).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_id").limit(50)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "source_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("cumulative", F.sum("n").over(order))
+    """Running count over all sources, those with most lines first."""
+    return w5_cumulative_share_all(spark, sf_dir).drop("percent")
 
 
 def w5_cumulative_share_all(spark, sf_dir):
@@ -296,8 +296,7 @@ SELECT CASE WHEN o_totalprice <= 1000 THEN '(0, 1000]' WHEN o_totalprice <= 5000
 WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS mid FROM orders GROUP BY 1)
 SELECT o_orderpriority, round(any_value(mid), 4) AS mid, round(median(abs(o_totalprice - mid)), 4) AS mad FROM orders JOIN m USING (o_orderpriority) GROUP BY 1""",
     "ag39_spend_window": """
-SELECT event_type, count(*) AS n, round(sum(value), 4) AS spend, round(sum(value) / 1440, 6) AS per_minute FROM events
-WHERE ts >= TIMESTAMP '2024-01-29' AND ts < TIMESTAMP '2024-01-30' GROUP BY 1""",
+SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 4) AS spend, round(sum(value) / 1440, 6) AS per_minute FROM events GROUP BY 1, 2""",
     "w2_dedupe_by_name": r"""
 SELECT food_id, description, size FROM (SELECT p_partkey AS food_id, p_name AS description, p_size AS size, row_number() OVER (
   PARTITION BY coalesce(nullif(trim(regexp_replace(regexp_replace(lower(trim(p_name)), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')), ''), 'id:' || p_partkey)
@@ -306,7 +305,7 @@ SELECT food_id, description, size FROM (SELECT p_partkey AS food_id, p_name AS d
 WITH s AS (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS spent FROM events)
 SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM s WHERE spent >= 500) WHERE r = 1""",
     "w5_cumulative_share": """
-WITH c AS (SELECT l_suppkey AS source_id, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, source_id LIMIT 50)
+WITH c AS (SELECT l_suppkey AS source_id, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT source_id, n, sum(n) OVER (ORDER BY n DESC, source_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cumulative FROM c""",
     "w5_cumulative_share_all": """
 WITH c AS (SELECT l_suppkey AS source_id, count(*) AS n FROM lineitem GROUP BY 1),
