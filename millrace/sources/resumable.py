@@ -1,9 +1,10 @@
 """Loads that go on where they were killed: key ranges, idempotent range folders and a commit log.
 
 A load is planned once: the source's keys are cut into ranges of about ``page_rows`` rows, and the plan is
-written.  Each range goes to a folder of its own, which is overwritten if it exists, and then one small
-file in the log says that it is done.  A load that is killed between any two of these steps starts again
-with the ranges that are not in the log, so nothing is lost and nothing comes twice; ``committed`` reads
+written.  Ranges are written in waves, one job a wave, so a load takes at most ``WAVES`` passes (or one for every
+``LEAST_WAVE`` ranges) however many ranges there are.  Each range goes to a folder of its own, which is overwritten
+if it exists, and then the log says that it is done.  A load that is killed between any two of these steps starts
+again with the ranges that are not in the log, so nothing is lost and nothing comes twice; ``committed`` reads
 only what the log names.
 """
 
@@ -12,11 +13,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ranges of the plan that the driver holds at most.
 MAX_RANGES = 10_000
+#: Waves that a plan is written in, unless they would hold fewer than ``LEAST_WAVE`` ranges.
+WAVES, LEAST_WAVE = 8, 64
 
 
 def key_ranges(rows: DataFrame, key: str, page_rows: int) -> list[tuple[int, int]]:
@@ -53,6 +58,22 @@ def done(spark: SparkSession, target: str) -> dict[int, int]:
     return {r["place"]: r["n_rows"] for r in _log(spark, target, "log", _DONE).collect()}
 
 
+def _place(key: str, ranges: list[tuple[int, int, int]]) -> Column:
+    """The range of ``ranges`` that a row's key is in, null where it is in none."""
+    places, lows, highs = np.array(sorted(ranges, key=lambda r: r[1]), np.int64).T
+
+    @F.pandas_udf("int")
+    def found(keys: pd.Series) -> pd.Series:
+        known = keys.notna().to_numpy()
+        values = keys[known].to_numpy(np.int64)
+        at = np.searchsorted(lows, values, "right") - 1
+        out = np.full(len(keys), None, object)
+        out[known] = np.where((at >= 0) & (values <= highs[at]), places[at].astype(object), None)
+        return pd.Series(out, dtype="Int32")
+
+    return found(F.col(key).cast("long"))
+
+
 def load(
     rows: DataFrame,
     key: str,
@@ -66,8 +87,9 @@ def load(
     """Write ``rows`` to ``target`` range by range and return the number of ranges written by this call.
 
     A call on a target that an earlier one left unfinished keeps that one's plan; rows whose keys lie beyond
-    the planned ranges come as new ranges once those are done.  A range that fails is tried ``attempts``
-    times, with waits that double.  ``before_commit`` runs between the write of a range and its log entry.
+    the planned ranges come as new ranges once those are done.  A wave that fails is tried ``attempts``
+    times, with waits that double.  ``before_commit`` runs for each range between its write and its log entry;
+    where it raises, the ranges of the wave before that one are logged.
     """
     spark = rows.sparkSession
     if _exists(spark, f"{target}/plan"):
@@ -77,10 +99,16 @@ def load(
     written = 0
     while True:
         finished = done(spark, target)
-        for place, low, high in plan:
-            if place not in finished:
-                _write(rows.where(F.col(key).between(low, high)), target, place, attempts, wait, before_commit)
-                written += 1
+        left = [r for r in plan if r[0] not in finished]
+        wave = max(LEAST_WAVE, -(-len(left) // WAVES))
+        _clear(spark, target, {r[0] for r in left})
+        for at in range(0, len(left), wave):
+            ranges = left[at : at + wave]
+            mine = rows.where(F.col(key).between(min(r[1] for r in ranges), max(r[2] for r in ranges)))
+            # a folder is written by one task, which holds whole ranges
+            page = mine.withColumn("place", _place(key, ranges)).where("place is not null").repartition("place")
+            _write(page, target, [r[0] for r in ranges], attempts, wait, before_commit)
+            written += len(ranges)
         last = max((high for _, _, high in plan), default=None)
         rest = rows if last is None else rows.where(F.col(key) > last)
         fresh = [(len(plan) + k, *r) for k, r in enumerate(key_ranges(rest, key, page_rows))]
@@ -90,23 +118,42 @@ def load(
         plan += fresh
 
 
-def _write(page: DataFrame, target: str, place: int, attempts: int, wait: float, before_commit: Callable[[int], None] | None) -> None:
-    spark, folder = page.sparkSession, f"{target}/ranges/place={place}"
+def _clear(spark: SparkSession, target: str, places: set[int]) -> None:
+    """Remove what a killed load left in the folders of ``places``, none of which is in the log."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/ranges")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.listStatus(where) if places and files.exists(where) else ():
+        name = found.getPath().getName()
+        if name.startswith("place=") and int(name.removeprefix("place=")) in places:
+            files.delete(found.getPath(), True)
+
+
+def _write(page: DataFrame, target: str, places: list[int], attempts: int, wait: float, before_commit: Callable[[int], None] | None) -> None:
+    """Write a wave and log its ranges; ``page`` has the rows and their place."""
+    spark, folder = page.sparkSession, f"{target}/ranges"
     for attempt in range(1, attempts + 1):
         try:
-            page.write.mode("overwrite").parquet(folder)
+            page.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("place").parquet(folder)
             break
         except Exception:
             if attempt == attempts:
                 raise
             time.sleep(wait * 2 ** (attempt - 1))
-    if before_commit:
-        before_commit(place)
-    n = spark.read.schema(page.schema).parquet(folder).count()
-    spark.createDataFrame([(place, n, attempt)], _DONE).coalesce(1).write.mode("append").parquet(f"{target}/log")
+    passed = []
+    try:
+        for place in places:
+            if before_commit:
+                before_commit(place)
+            passed.append(place)
+    finally:
+        if passed:
+            rows = spark.read.schema(page.schema).parquet(folder).where(F.col("place").isin(passed))
+            n = {r["place"]: r["count"] for r in rows.groupBy("place").count().collect()}  # a row a range
+            entries = [(place, n.get(place, 0), attempt) for place in passed]
+            spark.createDataFrame(entries, _DONE).coalesce(1).write.mode("append").parquet(f"{target}/log")
 
 
 def committed(spark: SparkSession, target: str, schema) -> DataFrame:
     """The rows of all ranges that the log names, and no others."""
-    folders = [f"{target}/ranges/place={place}" for place in sorted(done(spark, target))]
+    folders = [f"{target}/ranges/place={place}" for place, n in sorted(done(spark, target).items()) if n]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)

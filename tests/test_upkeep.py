@@ -151,6 +151,30 @@ def test_ranges_hold_their_rows(spark):
     assert resumable.key_ranges(rows.where("k < 0"), "k", 10) == []
 
 
+def test_many_ranges_take_few_jobs(spark, tmp_path):
+    rows = spark.range(0, 3000).selectExpr("(id * 7919) % 3000 AS k", "id AS v")
+    spark.sparkContext.setJobGroup("many-ranges", "")
+    try:
+        assert resumable.load(rows, "k", str(tmp_path / "t"), 30) > 90
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("many-ranges")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(jobs) < 60
+    assert sorted(tuple(r) for r in resumable.committed(spark, str(tmp_path / "t"), rows.schema).collect()) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_leftovers_of_a_killed_load_do_not_come_back(spark, tmp_path):
+    rows, target = spark.range(0, 300), str(tmp_path / "t")
+
+    def stop(place):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        resumable.load(rows, "id", target, 100, before_commit=stop)
+    resumable.load(rows.where("id >= 200"), "id", target, 100)
+    assert sorted(r["id"] for r in resumable.committed(spark, target, rows.schema).collect()) == list(range(200, 300))
+
+
 def test_failing_pages_are_tried_again(spark, tmp_path):
     calls = []
 
