@@ -21,6 +21,9 @@ from millrace.operators.lineage import checkpointed
 UNIT_BITS = 24
 #: Centroids beyond this many bytes meet the rows block by block in place of travelling with each task.
 BROADCAST_BYTES = 64 << 20
+#: Rows stay aside while centroids move by less than this many times the last move, and are left aside only from
+#: moves below the second number; what rounded similarities may hide.
+AHEAD, NEAR_MOVES, SLACK = 16, 0.005, 1e-8
 #: Most rows that one task picks from.
 CELL_ROWS = 20_000
 
@@ -90,8 +93,10 @@ def _sums(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 if batch.num_rows:
                     x = batch.column(0).flatten().to_numpy().reshape(-1, dims)
                     number = nearest(x.astype(float), centroids)[0]
-                    np.add.at(total, number, x)
-                    seen[number] = True
+                    order = np.argsort(number, kind="stable")
+                    at, first = np.unique(number[order], return_index=True)
+                    total[at] += np.add.reduceat(x[order], first, axis=0)
+                    seen[at] = True
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), *[pa.array(c) for c in np.ascontiguousarray(total[at].T)]], names=names)
 
@@ -139,18 +144,45 @@ def seeds(rows: DataFrame, k: int, seed: int = 0, rounds: int = 5) -> np.ndarray
     return candidates[chosen]
 
 
-def spherical_kmeans(rows: DataFrame, start: np.ndarray, iterations: int = 100) -> np.ndarray:
+def _undecided(rows: DataFrame, centroids: np.ndarray, margin: float) -> DataFrame:
+    """Rows whose nearest centroid is ahead of the next one by less than ``margin``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                two = np.partition(_unit(_matrix(batch.column(1))) @ _unit(centroids).T, -2, axis=1)[:, -2:]
+                yield batch.filter(pa.array(two[:, 1] - two[:, 0] < margin))
+
+    return rows.select("key", "unit").mapInArrow(run, "key long, unit array<long>")
+
+
+def spherical_kmeans(rows: DataFrame, start: np.ndarray, iterations: int | None = None) -> np.ndarray:
     """Centroids (k, dimension) as sums of ``units`` rows, once no sum changes any more.
 
-    A cluster without rows, or whose rows sum to zero, keeps its centroid.  Raises where sums still change
-    after ``iterations`` rounds.
+    A cluster without rows, or whose rows sum to zero, keeps its centroid.  The number of rounds grows with the
+    rows, so it has no bound of its own; with ``iterations``, raises where sums still change after as many.
+    Rounds that come back to earlier sums (as rounded similarities may tie) end there.
+
+    Late rounds read few rows.  A centroid that moves by d changes the similarity of any row by d at most, so a
+    row whose nearest centroid is ahead by more than twice the greatest move keeps its cluster: it stays aside in
+    an exact sum until the centroids have moved too far, and the results are those of whole rounds.
     """
-    centroids, last = np.asarray(start, float), None
-    for _ in range(iterations):
-        sums = _sums(rows, centroids)
-        if last is not None and np.array_equal(sums, last):
+    centroids, last, seen = np.asarray(start, float), None, set()
+    few = 1 < len(centroids) and centroids.nbytes <= BROADCAST_BYTES
+    active, settled, at, margin, moved = rows, 0, None, 0.0, np.inf
+    while iterations is None or len(seen) < iterations:
+        sums = settled + _sums(active, centroids)
+        if last is not None and (np.array_equal(sums, last) or sums.tobytes() in seen):
             return centroids
-        centroids, last = np.where(sums.any(axis=1, keepdims=True), sums, centroids), sums
+        seen.add(sums.tobytes())
+        if few and active is rows and moved < NEAR_MOVES:
+            margin, at = 2 * AHEAD * moved, centroids
+            active = checkpointed(_undecided(rows, centroids, margin + SLACK))
+            settled = sums - _sums(active, centroids)
+        before, centroids, last = centroids, np.where(sums.any(axis=1, keepdims=True), sums, centroids), sums
+        moved = np.linalg.norm(_unit(centroids) - _unit(before), axis=1).max(initial=0.0)
+        if at is not None and 2 * np.linalg.norm(_unit(centroids) - _unit(at), axis=1).max() > margin:
+            active, settled, at = rows, 0, None
     raise RuntimeError(f"no fixed point after {iterations} iterations")
 
 

@@ -266,3 +266,19 @@ def test_sample_has_two_tiers(spark):
     rows = QUERIES["p4_diverse_sample"](spark, SF_DIR).collect()
     assert sorted(r["tier"] for r in rows) == ["diverse"] * 7 + ["rare"] * 3
     assert len({r["cluster"] for r in rows}) == 10
+
+
+def test_kmeans_runs_on_to_its_fixed_point(spark):
+    rng = np.random.default_rng(9)
+    rows = rows_of(spark, [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(8000, 8)))]).localCheckpoint()
+    start = np.rint(rng.normal(size=(12, 8)) * (1 << clusters.UNIT_BITS))
+    x = np.array([r["unit"] for r in rows.orderBy("key").collect()], np.int64)
+    plain, last, rounds = start, None, 0
+    while True:
+        number = clusters.nearest(x.astype(float), plain)[0]
+        sums = np.array([x[number == k].sum(axis=0) for k in range(12)])
+        if last is not None and np.array_equal(sums, last):
+            break
+        plain, last, rounds = np.where(sums.any(axis=1, keepdims=True), sums, plain), sums, rounds + 1
+    assert rounds > 100  # more than the rounds that were the limit
+    assert np.array_equal(clusters.spherical_kmeans(rows, start), plain)
