@@ -93,13 +93,14 @@ def corridor(boxes: DataFrame, low: DataFrame, minima_steps: int) -> DataFrame:
     """(box_id, distance, i, j): the point of the basin nearest to each box in L1, in units of the lattice; of
     equal ones the first by i and j.
 
-    Every box meets every point of the basin, whose number is bounded by the lattice, a parameter.
+    Every box meets every point of the basin, whose number is bounded by the lattice, a parameter.  A meeting is one
+    whole number that holds distance, i and j in this order, so the least of a box is kept in a hash map and no
+    meeting is sorted or shuffled.
     """
-    rows = low.groupBy("i").agg(F.array_sort(F.collect_set("j")).alias("js"))
-    met = boxes.crossJoin(F.broadcast(rows))  # at most ``minima_steps`` + 1 rows, a parameter
+    met = boxes.crossJoin(F.broadcast(low.select("i", "j")))  # at most (``minima_steps`` + 1)**2 rows, a parameter
     gap = lambda x, a, b: F.greatest(F.col(a) - x, x - F.col(b), F.lit(0))
-    fat = lambda j: minima_steps - F.col("i") - j
-    scored = F.transform("js", lambda j: F.struct((gap(F.col("i"), "p_low", "p_high") + gap(j, "c_low", "c_high") + gap(fat(j), "f_low", "f_high")).alias("distance"), F.col("i").alias("i"), j.alias("j")))
-    best = met.select("box_id", F.array_min(scored).alias("b"))
-    return best.groupBy("box_id").agg(F.min("b").alias("b")).select("box_id", "b.distance", "b.i", "b.j")
-
+    i, j, side = F.col("i"), F.col("j"), minima_steps + 1
+    distance = gap(i, "p_low", "p_high") + gap(j, "c_low", "c_high") + gap(minima_steps - i - j, "f_low", "f_high")
+    best = met.select("box_id", ((distance.cast("long") * side + i) * side + j).alias("b")).groupBy("box_id").agg(F.min("b").alias("b"))
+    part = lambda c: c.cast("int")
+    return best.select("box_id", part(F.expr(f"b div {side * side}")).alias("distance"), part(F.expr(f"b div {side}") % side).alias("i"), part(F.col("b") % side).alias("j"))
