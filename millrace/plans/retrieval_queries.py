@@ -34,11 +34,17 @@ def _similarities(spark, sf_dir, k=None):
     return vectors.within(queries, rows, -1.0, ("query_id", "embedding"), ("id", "embedding"), k=k)
 
 
+def _shown(column):
+    """Six places as SQL rounds them: the product is rounded as a binary number.  ``F.round`` rounds the number as
+    printed, and the two part where eight places end in 50."""
+    return F.round(F.col(column) * 1e6) / 1e6
+
+
 def t3_index_search(spark, sf_dir):
     """The twelve best documents of every passage by F-beta, and all at 0.45 or more."""
     queries, index = _catalog(spark, sf_dir)
     found = retrieval.search(queries, index, retrieval.LEXICAL_TOP, floor=retrieval.LEXICAL_FLOOR)
-    return found.select("query_id", "id", "overlap", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "id", "overlap", _shown("score").alias("score"), "rank")
 
 
 def v6_union_retrieval(spark, sf_dir):
