@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,36 +11,56 @@ from pyspark.sql import functions as F
 
 #: Vectors of one block; a task holds two blocks and their products.
 BLOCK_ROWS = 2048
+#: For neighbours among all vectors: blocks that more vectors are dealt to before blocks grow, the most vectors of a
+#: block, and the rows of a block that are multiplied at once.
+PAIR_BLOCKS, PAIR_ROWS, STRIPE_ROWS = 16, 32_768, 256
 
 
 def neighbours(vectors: DataFrame, k: int, least: float, key: str = "id", vector: str = "vector") -> DataFrame:
     """(key, match, similarity): per vector the k nearest others with a cosine of at least ``least``.
 
-    Vectors are dealt to blocks by a hash of their key, and each pair of blocks is one product of
-    matrices in one task, so no task holds more than two blocks.  A cell passes on k rows a vector.
+    Vectors are dealt to blocks by a hash of their key, and each unordered pair of blocks is one task, which asks
+    in both directions and multiplies stripe by stripe.  A vector travels once for each block, and blocks grow to
+    ``PAIR_ROWS`` before their number does, so up to some 500,000 vectors what is sent grows with the vectors;
+    the products grow with their square, as the job is exact.  A cell passes on k rows a vector at most.
     Similarities are rounded to six places; of equal ones the lesser key goes first.
     """
-    rows = vectors.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    kept = kind if kind in ("float", "double") else "double"  # cast in the task, as floats are half as wide
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast(f"array<{kept}>").alias("vector"))
+    n = rows.count()
+    blocks = max(1, min(PAIR_BLOCKS, -(-n // BLOCK_ROWS)), -(-n // PAIR_ROWS))
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("*", mine.alias("a"), every.alias("b"))
-    right = rows.select("*", mine.alias("b"), every.alias("a"))
+    left = rows.withColumn("a", mine).withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(blocks - 1))))
+    right = rows.withColumn("b", mine).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("b"))))
+
+    def nearest(names: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(x), STRIPE_ROWS):
+            mine = names[at : at + STRIPE_ROWS]
+            products = x[at : at + STRIPE_ROWS] @ y.T
+            row, to = np.nonzero(products >= least - 1e-6)
+            found = np.round(products[row, to], 6)
+            good = (found >= least) & (mine[row] != others[to])
+            row, to, found = row[good], to[good], found[good]
+            order = np.lexsort((others[to], -found, row))
+            row, to, found = row[order], to[order], found[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            best = nth < k
+            yield pd.DataFrame({"id": mine[row[best]], "match": others[to[best]], "similarity": found[best]})
 
-    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"id": [], "match": [], "similarity": []})
-        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        y = y.sort_values("id")
-        products = np.round(unit(np.stack(x["vector"])) @ unit(np.stack(y["vector"])).T, 6)
-        names, others = x["id"].to_numpy(), y["id"].to_numpy()
-        products[names[:, None] == others[None, :]] = -2
-        best = np.argsort(-products, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(products, best, axis=1)
-        out = pd.DataFrame({"id": np.repeat(names, best.shape[1]), "match": others[best].ravel(), "similarity": found.ravel()})
-        return out[out["similarity"] >= least]
-
-    cells = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "id long, match long, similarity double")
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": np.array([], np.int64), "match": np.array([], np.int64), "similarity": np.array([], float)})]
+        if not x.empty and not y.empty:
+            sides = []
+            for side in (x, y):
+                values = np.stack(side["vector"]).astype(float)
+                sides += [side["id"].to_numpy(), values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-300)]
+            out += nearest(*sides)
+            if x["a"].iloc[0] != x["b"].iloc[0]:
+                out += nearest(*sides[2:], *sides[:2])
+        return pd.concat(out)
+
+    cells = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, "id long, match long, similarity double")
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "match")
     return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias(key), "match", "similarity")
 

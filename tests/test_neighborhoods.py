@@ -282,3 +282,47 @@ def test_kmeans_runs_on_to_its_fixed_point(spark):
         plain, last, rounds = np.where(sums.any(axis=1, keepdims=True), sums, plain), sums, rounds + 1
     assert rounds > 100  # more than the rounds that were the limit
     assert np.array_equal(clusters.spherical_kmeans(rows, start), plain)
+
+
+def test_corridor_equals_a_scan_without_sorts(spark):
+    rng, steps = random.Random(5), 13
+    low = [(i, j, 0.5, 0.5) for i in range(steps + 1) for j in range(steps + 1 - i) if rng.random() < 0.3]
+    bounds = lambda: sorted((rng.randrange(-2, steps + 3), rng.randrange(-2, steps + 3)))
+    boxes = [(k, *bounds(), *bounds(), *bounds()) for k in range(60)]
+    made = loss_fields.corridor(spark.createDataFrame(boxes, "box_id long, p_low int, p_high int, c_low int, c_high int, f_low int, f_high int"), spark.createDataFrame(low, "i int, j int, loss double, threshold double"), steps)
+    gap = lambda x, a, b: max(a - x, x - b, 0)
+    wanted = {k: min((gap(i, a, b) + gap(j, c, d) + gap(steps - i - j, e, f), i, j) for i, j, *_ in low) for k, a, b, c, d, e, f in boxes}
+    assert {r["box_id"]: (r["distance"], r["i"], r["j"]) for r in made.collect()} == wanted
+    assert "Sort" not in made._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_shown_scores_round_as_sql_does(spark):
+    import duckdb
+
+    from millrace.plans.retrieval_queries import _shown
+
+    pairs = [(o, n, s) for o in range(1, 13) for n in range(o, 40) for s in range(o, 120)]
+    scores = [(round(1.25 * o / (0.25 * n + s), 8),) for o, n, s in pairs]
+    con = duckdb.connect()
+    wanted = [r[0] for r in con.execute("SELECT round(x, 6) FROM (SELECT unnest($1::DOUBLE[]) AS x)", [[x for x, in scores]]).fetchall()]
+    rows = spark.createDataFrame([(k, x) for k, (x,) in enumerate(scores)], "k int, score double")
+    assert [r["s"] for r in rows.select("k", _shown("score").alias("s")).orderBy("k").collect()] == wanted
+
+
+def test_neighbours_of_many_blocks_equal_one_product(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(vectors, "PAIR_BLOCKS", 3)
+    monkeypatch.setattr(vectors, "PAIR_ROWS", 100)
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(110, 6)), np.zeros((1, 6))])
+    x[7] = x[3]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    near = np.round(unit @ unit.T, 6)
+    wanted = {k: [(-s, m) for s, m in sorted((-near[k, m], m) for m in range(len(x)) if m != k and near[k, m] >= 0.3)[:4]] for k in range(len(x))}
+    found = {k: [] for k in wanted}
+    for r in vectors.neighbours(table, 4, 0.3).orderBy("id", F.desc("similarity"), "match").collect():
+        found[r["id"]].append((r["similarity"], r["match"]))
+    assert found == wanted
+    plan = vectors.neighbours(table, 4, 0.3)
+    assert "sequence(a" in plan._jdf.queryExecution().optimizedPlan().toString()  # each unordered pair of blocks once
