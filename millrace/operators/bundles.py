@@ -22,8 +22,15 @@ def bundles(candidates: DataFrame, max_size: int, cap: int | None = None) -> Dat
     they share the line, the food or the label (ASCII case aside).  Bundles grow slot by slot, so each set comes
     up once.  With ``cap``, a bundle grows only if it can still reach the ``cap``-th best score that is known:
     its own score plus the best scores of the slots left, for as many as may join.  Without, all are listed.
+
+    Problems of equal candidates are one class: bundles are found once a class, under its least problem, and every
+    member gets them at the end.
     """
-    c = checkpointed(candidates.select("problem", "slot", "id", "line", "food", F.lower("label").alias("label"), "score"))
+    every = checkpointed(candidates.select("problem", "slot", "id", "line", "food", F.lower("label").alias("label"), "score"))
+    same = F.array_sort(F.collect_list(F.struct("slot", "id", "line", "food", "label", "score")))
+    alike = checkpointed(every.where("problem is not null").groupBy("problem").agg(F.sha2(F.to_json(same, {"ignoreNullFields": "false"}), 256).alias("same")))
+    members = checkpointed(alike.join(alike.groupBy("same").agg(F.min("problem").alias("class")), "same").select("problem", "class"))
+    c = checkpointed(every.join(members.where(F.col("problem") == F.col("class")).select("problem"), "problem", "left_semi"))
     per = Window.partitionBy("problem")
     slots = c.groupBy("problem", "slot").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("best"))
     later = slots.alias("a").join(slots.alias("b"), F.expr("a.problem = b.problem and b.slot > a.slot"), "left")
@@ -48,7 +55,8 @@ def bundles(candidates: DataFrame, max_size: int, cap: int | None = None) -> Dat
         level = checkpointed(met.select("problem", F.col("slot2").alias("last"), F.concat("ids", F.array("id2")).alias("ids"), longer.alias("lines"), F.concat("foods", F.array("food2")).alias("foods"), F.concat("labels", F.array("label2")).alias("labels"), (F.col("score") + F.col("score2")).alias("score")))
         out = out.unionByName(level.select("problem", "ids", F.lit(size).alias("size"), "score"))
     ranked = out.withColumn("rank", F.row_number().over(per.orderBy(F.desc("score"), "size", "ids")))
-    return ranked if cap is None else ranked.where(F.col("rank") <= cap)
+    kept = ranked if cap is None else ranked.where(F.col("rank") <= cap)
+    return members.join(kept.withColumnRenamed("problem", "class"), "class").select("problem", "ids", "size", "score", "rank")
 
 
 # Nodes of an answer at least; nodes up to which all subsets are tried.

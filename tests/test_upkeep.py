@@ -42,6 +42,26 @@ def test_bundles_equal_enumeration(spark, most, cap):
     assert found == {p: b[:cap] for p, b in plain_bundles(rows, most).items()}
 
 
+def test_problems_of_equal_candidates_are_solved_once(spark, monkeypatch):
+    mine = [(s, 10 * s + k, None, 10 * s + k, f"x{k}{s}", float(k + s)) for s in range(3) for k in range(3)]
+    other = [r[:5] + (r[5] + (r[1] == 0),) for r in mine]
+    rows = [(p, *r) for p in range(40) for r in (other if p == 17 else mine)]
+    sizes, keep = [], bundles.checkpointed
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(bundles, "checkpointed", counted)
+    table = spark.createDataFrame(rows, "problem long, slot long, id long, line int, food long, label string, score double")
+    found = {}
+    for r in bundles.bundles(table, 3, 5).orderBy("problem", "rank").collect():
+        found.setdefault(r["problem"], []).append((-r["score"], r["size"], r["ids"]))
+    assert found == {p: b[:5] for p, b in plain_bundles(rows, 3).items()}
+    assert max(sizes[2:]) <= 2 * 27  # two classes; what comes before are all candidates and the members
+
+
 # Subsets
 
 
