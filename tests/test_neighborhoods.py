@@ -301,7 +301,7 @@ def test_shown_scores_round_as_sql_does(spark):
 
     from millrace.plans.retrieval_queries import _shown
 
-    pairs = [(o, n, s) for o in range(1, 13) for n in range(o, 40) for s in range(o, 120)]
+    pairs = [(o, n, s) for o in range(1, 21) for n in range(o, 40) for s in range(o, 120)]
     scores = [(round(1.25 * o / (0.25 * n + s), 8),) for o, n, s in pairs]
     con = duckdb.connect()
     wanted = [r[0] for r in con.execute("SELECT round(x, 6) FROM (SELECT unnest($1::DOUBLE[]) AS x)", [[x for x, in scores]]).fetchall()]
