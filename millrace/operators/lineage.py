@@ -1,4 +1,4 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and tables that several steps read."""
 
 from __future__ import annotations
 
@@ -33,3 +33,17 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """``df`` written as compressed Parquet to a new scratch folder and read back.
+
+    Unlike a checkpoint it is compressed, readers take only the columns they need, and its size is known, so small
+    tables are broadcast.  The folder is marked for deletion when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)

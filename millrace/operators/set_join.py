@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_EPS = 1e-9
+from millrace.operators.lineage import stored
+
+EPS = 1e-9
 
 
 def classes(sets: DataFrame, key: str, items: str, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -43,26 +45,44 @@ def rarest_first(sets: DataFrame, counts: DataFrame, keys: list[str]) -> DataFra
     return apart.groupBy(*keys, "floor").agg(F.transform(ordered, lambda x: x["item"]).alias("items"))
 
 
+def rarest_first_sets(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, items) of (key, item): the distinct items of each key, ordered by their count, then by item.  The items
+    are put in order as the sets are made, so the sets are not taken apart again."""
+    distinct = rows.where(F.col(item).isNotNull()).select(key, F.col(item).alias("item"))
+    counts = stored(distinct.groupBy("item").agg(F.count(F.lit(1)).alias("item_count")), "counts")
+    ordered = F.array_sort(F.collect_set(F.struct("item_count", "item")))
+    return distinct.join(counts, "item").groupBy(key).agg(F.transform(ordered, lambda x: x["item"]).alias("items"))
+
+
+def classes_of(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Like ``classes`` for a stored table of ``rarest_first_sets``: (class, items, copies), and the members (key, class).
+    Only sets that occur more than once are looked up again; the others are their own class."""
+    made = stored(sets.groupBy("items").agg(F.min(key).alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
+    several = stored(made.where("copies > 1").select("items", "class"), "several")
+    alone = made.where("copies = 1").select(F.col("class").alias(key), "class")
+    return made, alone.unionByName(sets.join(several, "items").select(key, "class"))
+
+
 def prefix_length(n: Column, floor: Column) -> Column:
     """How many of the n rarest items a partner at ``floor`` or above has to share one of."""
-    return (n - F.greatest(F.lit(1), F.ceil(floor * n - _EPS)) + 1).cast("int")
+    return (n - F.greatest(F.lit(1), F.ceil(floor * n - EPS)) + 1).cast("int")
 
 
 def _indexed(sets: DataFrame, side: str) -> DataFrame:
-    n = F.size("items")
-    named = sets.select(*[F.col(c).alias(f"{side}_{c}") for c in sets.columns], n.alias(f"{side}_n"), F.posexplode(F.slice("items", F.lit(1), prefix_length(n, F.col("floor")))).alias(f"{side}_at", "item"))
-    return named
+    apart = F.posexplode(F.slice("items", F.lit(1), prefix_length(F.size("items"), F.col("floor")))).alias(f"{side}_at", "item")
+    return sets.select(*[F.col(c).alias(f"{side}_{c}") for c in sets.columns], apart)
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """All meetings of prefixes, before any filter; both sides ordered by ``rarest_first``."""
-    return _indexed(left, "l").join(_indexed(right, "r"), "item")
+    met = _indexed(left, "l").join(_indexed(right, "r"), "item")
+    return met.withColumn("l_n", F.size("l_items")).withColumn("r_n", F.size("r_items"))
 
 
 def _passing(met: DataFrame) -> DataFrame:
     t = F.greatest("l_floor", "r_floor")
-    needed = F.ceil(t / (1 + t) * (F.col("l_n") + F.col("r_n")) - _EPS)
-    size = (F.col("l_n") >= t * F.col("r_n") - _EPS) & (F.col("r_n") >= t * F.col("l_n") - _EPS)
+    needed = F.ceil(t / (1 + t) * (F.col("l_n") + F.col("r_n")) - EPS)
+    size = (F.col("l_n") >= t * F.col("r_n") - EPS) & (F.col("r_n") >= t * F.col("l_n") - EPS)
     position = 1 + F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) - 1 >= needed
     return met.where(size & position)
 
@@ -80,14 +100,25 @@ def filter_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def similar_sets(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of rows at or above their threshold: the keys of both sides as l_..., r_..., overlap, jaccard.
+def similar_classes(sets: DataFrame) -> DataFrame:
+    """(a, b, jaccard), a < b: pairs of classes at or above the greater of their floors.
+
+    ``sets`` has class, items (rarest first) and floor and is stored, so the prefixes are shuffled once for both sides.
+    """
+    pairs = similar_sets(sets, sets, F.col("l_class") < F.col("r_class"))
+    return pairs.select(F.col("l_class").alias("a"), F.col("r_class").alias("b"), "jaccard")
+
+
+def similar_sets(left: DataFrame, right: DataFrame, only: Column | None = None) -> DataFrame:
+    """Pairs of rows at or above their threshold: the keys of both sides as l_..., r_..., overlap, jaccard; with
+    ``only`` those it holds for.
 
     Both sides are ordered by ``rarest_first`` with the same counts.
     """
     common = F.array_intersect("l_items", "r_items")  # in the order of the left side, which is that of the right
-    kept = _passing(candidates(left, right)).withColumn("common", common).where(F.element_at("common", 1) == F.col("item"))
+    met = candidates(left, right)
+    kept = _passing(met if only is None else met.where(only)).withColumn("common", common).where(F.element_at("common", 1) == F.col("item"))
     jaccard = F.size("common") / (F.col("l_n") + F.col("r_n") - F.size("common"))
     scored = kept.withColumn("overlap", F.size("common")).withColumn("jaccard", jaccard)
     keys = [f"{side}_{c}" for side, df in (("l", left), ("r", right)) for c in df.columns if c not in ("items", "floor")]
-    return scored.where(F.col("jaccard") >= F.greatest("l_floor", "r_floor") - _EPS).select(*keys, "overlap", "jaccard")
+    return scored.where(F.col("jaccard") >= F.greatest("l_floor", "r_floor") - EPS).select(*keys, "overlap", "jaccard")

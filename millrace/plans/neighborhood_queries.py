@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import neighborhood, relational as rel, set_join, vectors
-from millrace.operators.lineage import checkpointed
+from millrace.operators.lineage import stored
 from millrace.plans.tables import foods, recipe_lines, table
 
 DIMENSIONS = 64
@@ -17,9 +17,11 @@ CORE_ITEMS = 2
 def _inputs(spark, sf_dir):
     core = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("problem"), F.col("o_orderkey").alias("recipe_id"))
     lines = recipe_lines(spark, sf_dir).select("recipe_id", "food_id")
-    brands = lines.join(foods(spark, sf_dir).select("food_id", F.col("brand").alias("node")), "food_id").select("recipe_id", "node").distinct()
+    named = lines.join(foods(spark, sf_dir).select("food_id", F.col("brand").alias("node")), "food_id")
+    # the brands of a recipe are read several times: stored once, as one row a recipe
+    brands = stored(named.groupBy("recipe_id").agg(F.collect_set("node").alias("nodes")), "brands").select("recipe_id", F.explode("nodes").alias("node"))
     vectors_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recipe_id"), F.col("embedding").alias("vector"))
-    return core, lines.withColumnRenamed("food_id", "leaf").distinct(), brands, vectors_
+    return core, lines.withColumnRenamed("food_id", "leaf"), brands, vectors_
 
 
 def v10_neighborhood_shell(spark, sf_dir):
@@ -30,20 +32,21 @@ def v10_neighborhood_shell(spark, sf_dir):
 
 def v10_nearest_core(spark, sf_dir):
     """Pairs of recipes whose foods are alike by 0.35 or more, through the filters of the set join."""
-    leaves = _inputs(spark, sf_dir)[1]
-    sets, members = set_join.classes(leaves.groupBy("recipe_id").agg(F.collect_set("leaf").alias("items")), "recipe_id", "items")
-    made = checkpointed(set_join.rarest_first(sets.withColumn("floor", F.lit(neighborhood.FLOOR)), set_join.item_counts(sets), ["class"]))
-    pairs = set_join.similar_sets(made, made).where("l_class < r_class")
-    best = pairs.select(F.col("l_class").alias("class"), F.col("r_class").alias("other"), "jaccard").unionByName(pairs.select(F.col("r_class").alias("class"), F.col("l_class").alias("other"), "jaccard"))
+    leaves = recipe_lines(spark, sf_dir).select("recipe_id", F.col("food_id").alias("leaf"))
+    sets = stored(set_join.rarest_first_sets(leaves, "recipe_id", "leaf"), "sets")
+    made, members = set_join.classes_of(sets, "recipe_id")
+    pairs = set_join.similar_classes(made.select("class", "items", F.lit(neighborhood.FLOOR).alias("floor")))
+    ends = lambda x, y: F.struct(F.col(x).alias("class"), F.col(y).alias("other"))
+    best = pairs.select("jaccard", F.explode(F.array(ends("a", "b"), ends("b", "a"))).alias("e")).select("e.*", "jaccard")
     best = best.groupBy("class").agg(F.max_by("other", F.struct(F.round("jaccard", 8), -F.col("other"))).alias("other"), F.round(F.max("jaccard"), 8).alias("jaccard"))
     return members.join(best, "class").select("recipe_id", F.col("other").alias("nearest"), "jaccard")
 
 
 def v12_cooccurrence(spark, sf_dir):
     """Shares of other brands among a customer's recipes and their shell that hold its two most frequent brands."""
-    core, _, brands, _ = _inputs(spark, sf_dir)
-    shell = v10_neighborhood_shell(spark, sf_dir).select("problem", "recipe_id")
-    items = checkpointed(brands.withColumnRenamed("node", "item"))
+    core, leaves, brands, recipe_vectors = _inputs(spark, sf_dir)
+    shell = stored(neighborhood.shell(core, leaves, brands, recipe_vectors, DIMENSIONS).select("problem", "recipe_id"), "shell")
+    items = brands.withColumnRenamed("node", "item")
     often = core.join(items, "recipe_id").groupBy("problem", "item").agg(F.count(F.lit(1)).alias("n"))
     wanted = rel.top_k(often, ["problem"], [F.desc("n"), F.asc("item")], CORE_ITEMS).select("problem", "item")
     return neighborhood.cooccurrence(core.unionByName(shell), items, wanted)
