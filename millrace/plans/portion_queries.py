@@ -40,8 +40,8 @@ def m6_resolved_grams(spark, sf_dir):
     """Grams, status and portion of every ingredient line.  Lines of one text are parsed once, and lines of one
     food and text are resolved once."""
     lines = checkpointed(raw_lines(spark, sf_dir).select(*KEY, "raw"))
-    parsed = lines.select("raw").distinct().select("raw", parsing.parsed_line(F.col("raw")).alias("p"), parsing.bracketed_grams(F.col("raw")).alias("bracketed"))
-    parsed = checkpointed(parsed.select("raw", "p.quantity", F.when(F.col("p.unit") != "each", F.col("p.unit")).alias("unit"), "p.size", "p.name", "bracketed"))
+    parsed = parsing.with_bracketed_grams(parsing.parsed_lines(lines.select("raw").distinct()))
+    parsed = checkpointed(parsed.select("raw", "quantity", F.when(F.col("unit") != "each", F.col("unit")).alias("unit"), "size", "name", "bracketed"))
     asked = lines.select("food_id", "raw").distinct().join(parsed, "raw")
     found = portions.resolved(asked, checkpointed(portions.classified(food_portions(spark, sf_dir))), ["food_id", "raw"])
     return lines.join(found, ["food_id", "raw"]).select(*KEY, "grams", "status", "portion_id", "path")

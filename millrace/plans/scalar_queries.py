@@ -62,7 +62,7 @@ def st13_units_in_text(spark, sf_dir):
 
 
 def st15_parsed_lines(spark, sf_dir):
-    return raw_lines(spark, sf_dir).select(*LINE, parsing.parsed_line(F.col("raw")).alias("p")).select(*LINE, "p.*")
+    return parsing.parsed_lines(raw_lines(spark, sf_dir).select(*LINE, "raw")).drop("raw")
 
 
 def st17_bracketed_grams(spark, sf_dir):
@@ -129,17 +129,17 @@ def d5_latest_text_date(spark, sf_dir):
 
 def m1_converted_amounts(spark, sf_dir):
     """Parsed amounts in milliliters or grams, and their kind."""
-    p = raw_lines(spark, sf_dir).select(*LINE, parsing.parsed_line(F.col("raw")).alias("p"))
-    kind = parsing.amount_kind(F.col("p.quantity"), F.col("p.unit"), F.col("p.name"))
-    base = F.when(parsing.unit_kind(F.col("p.unit")) == "volume", "milliliter").otherwise("gram")
-    return p.select(*LINE, kind.alias("kind"), F.round(scores.convert(F.col("p.quantity"), F.col("p.unit"), base), 6).alias("amount"))
+    p = parsing.parsed_lines(raw_lines(spark, sf_dir).select(*LINE, "raw"))
+    kind = parsing.amount_kind(F.col("quantity"), F.col("unit"), F.col("name"))
+    base = F.when(parsing.unit_kind(F.col("unit")) == "volume", "milliliter").otherwise("gram")
+    return p.select(*LINE, kind.alias("kind"), F.round(scores.convert(F.col("quantity"), F.col("unit"), base), 6).alias("amount"))
 
 
 def m8_gram_ladder(spark, sf_dir):
     """Grams by the first path that gives any: mass in brackets, mass, volume by the food's grams a cup, count by its grams a piece."""
-    p = raw_lines(spark, sf_dir).select(*LINE, parsing.parsed_line(F.col("raw")).alias("p"), parsing.bracketed_grams(F.col("raw")).alias("bracketed"))
+    p = parsing.with_bracketed_grams(parsing.parsed_lines(raw_lines(spark, sf_dir).select(*LINE, "raw"))).drop("size")
     p = p.join(foods(spark, sf_dir).select("food_id", "size"), "food_id")
-    quantity, unit = F.col("p.quantity"), F.col("p.unit")
+    quantity, unit = F.col("quantity"), F.col("unit")
     paths = {
         "bracketed": F.col("bracketed"),
         "mass": scores.convert(quantity, unit, F.lit("gram")),
@@ -152,7 +152,7 @@ def m8_gram_ladder(spark, sf_dir):
 
 def m11_portion_flags(spark, sf_dir):
     """Per food which kinds of portions its lines show: volume, count, a container with its mass."""
-    p = raw_lines(spark, sf_dir).select("food_id", parsing.unit_kind(parsing.parsed_line(F.col("raw"))["unit"]).alias("kind"), F.col("raw"))
+    p = parsing.parsed_lines(raw_lines(spark, sf_dir).select("food_id", "raw")).select("food_id", parsing.unit_kind(F.col("unit")).alias("kind"), "raw")
     container = F.col("raw").rlike(r"\bcans?\b") & F.col("raw").rlike(parsing.BRACKETED_MASS)
     shown = p.groupBy("food_id").agg(F.bool_or(F.col("kind").eqNullSafe("volume")).alias("v"), F.bool_or(F.col("kind").eqNullSafe("count")).alias("c"), F.bool_or(container).alias("cm"))
     flag = F.when(F.col("food_id") <= 2, "-").when(F.col("v") & F.col("cm"), "VC").when(F.col("v"), "V").when(F.col("cm"), "Cm").when(F.col("c"), "C").otherwise("-")
