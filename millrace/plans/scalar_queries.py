@@ -31,8 +31,9 @@ def st5_tokens(spark, sf_dir):
 
 
 def st7_modifier_classes(spark, sf_dir):
-    found = lambda words: F.array_join(F.array_sort(F.array_intersect(text.tokens(F.col("raw")), _words(words))), " ")
-    return raw_lines(spark, sf_dir).select(*LINE, found(PHYSICAL).alias("physical_form"), found(COOKING).alias("cooking_state"))
+    found = lambda words: F.array_join(F.array_sort(F.array_intersect("tokens", _words(words))), " ")
+    lines = raw_lines(spark, sf_dir).select(*LINE, text.tokens(F.col("raw")).alias("tokens"))  # both classes read them
+    return lines.select(*LINE, found(PHYSICAL).alias("physical_form"), found(COOKING).alias("cooking_state"))
 
 
 def st8_clean_ingredients(spark, sf_dir):
