@@ -103,6 +103,14 @@ def within(queries: DataFrame, rows: DataFrame, least: float = -1.0, query: tupl
     return cells.select(F.col("q").alias(query[0]), F.col("r").alias(row[0]), "similarity")
 
 
+def cosine(a: str, b: str) -> Column:
+    """The cosine of two columns of vectors, rounded to eight places; vectors of zeros are at 0 from all."""
+    wide = lambda x: F.transform(x, lambda v: v.cast("double"))
+    dot = lambda x, y: F.aggregate(F.zip_with(wide(x), wide(y), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms == 0, 0.0).otherwise(F.round(dot(a, b) / norms, 8))
+
+
 def centroids(vectors: DataFrame, group: str, vector: str, dimensions: int) -> DataFrame:
     """(group, centroid): the mean of each group's vectors at length one, combined on the map side."""
     means = vectors.groupBy(group).agg(F.array(*[F.avg(F.col(vector)[k].cast("double")) for k in range(dimensions)]).alias("mean"))

@@ -14,24 +14,24 @@ from millrace.plans.tables import table
 BETWEEN = r"[ \t\n\r.,;:!?()\"']+"
 
 
-def _tokens(rows, key, name):
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN))).alias("token")
-    return rows.select(F.col(key).alias(name), words).where((F.length("token") > 1) & ~F.col("token").isin(*STOP_WORDS))
+def _entries(rows, key, name):
+    """(name, tokens): the distinct words of every text."""
+    words = F.array_distinct(F.split(F.lower("text"), BETWEEN))
+    return rows.select(F.col(key).alias(name), F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS)).alias("tokens"))
 
 
 def _catalog(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    queries = _tokens(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "query_id")
-    return checkpointed(queries), retrieval.build_index(_tokens(docs, "doc_id", "id"))
+    """(query_id, token) of the passages, (id, tokens) of the documents."""
+    asked = _entries(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "query_id")
+    queries = checkpointed(asked.select("query_id", F.explode("tokens").alias("token")).distinct())
+    return queries, _entries(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "id")
 
 
-def _similarities(spark, sf_dir, k=None):
-    e = table(spark, sf_dir, "embeddings")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    queries = e.withColumnRenamed("vec_id", "query_id").join(items, "query_id", "left_semi")
-    rows = e.withColumnRenamed("vec_id", "id").join(docs, "id", "left_semi")
-    return vectors.within(queries, rows, -1.0, ("query_id", "embedding"), ("id", "embedding"), k=k)
+def _vectors(spark, sf_dir):
+    """Vectors of the passages (query_id, vector) and of the documents (id, vector)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")).where("vector is not null")
+    of = lambda name, key, to: e.withColumnRenamed("vec_id", to).join(table(spark, sf_dir, name).select(F.col(key).alias(to)), to, "left_semi")
+    return of("benchmark", "item_id", "query_id"), of("documents", "doc_id", "id")
 
 
 def _shown(column):
@@ -42,19 +42,19 @@ def _shown(column):
 
 def t3_index_search(spark, sf_dir):
     """The twelve best documents of every passage by F-beta, and all at 0.45 or more."""
-    queries, index = _catalog(spark, sf_dir)
-    found = retrieval.search(queries, index, retrieval.LEXICAL_TOP, floor=retrieval.LEXICAL_FLOOR)
+    queries, entries = _catalog(spark, sf_dir)
+    found = retrieval.scan(queries, entries, retrieval.LEXICAL_TOP, floor=retrieval.LEXICAL_FLOOR)
     return found.select("query_id", "id", "overlap", _shown("score").alias("score"), "rank")
 
 
 def v6_union_retrieval(spark, sf_dir):
-    queries, index = _catalog(spark, sf_dir)
-    return retrieval.union_retrieval(queries, index, _similarities(spark, sf_dir, retrieval.SEMANTIC_CAP))
+    queries, entries = _catalog(spark, sf_dir)
+    return retrieval.union_retrieval(queries, entries, vectors.within(*_vectors(spark, sf_dir), k=retrieval.SEMANTIC_CAP))
 
 
 def v7_staged_match(spark, sf_dir):
-    queries, index = _catalog(spark, sf_dir)
-    return retrieval.staged_match(queries, index, _similarities(spark, sf_dir))
+    queries, entries = _catalog(spark, sf_dir)
+    return retrieval.staged_match(queries, entries, *_vectors(spark, sf_dir))
 
 
 _WORDS = f"""(SELECT *, unnest(list_distinct(regexp_split_to_array(lower(text), '{BETWEEN.replace("'", "''")}'))) AS token FROM {{table}})
