@@ -4,14 +4,15 @@ bounds that lose nothing."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage import checkpointed
+from millrace.operators.lineage import checkpointed, stored
 
 
 def bundles(candidates: DataFrame, max_size: int, cap: int | None = None) -> DataFrame:
@@ -81,21 +82,33 @@ def _pairs(recipes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return recipes[i], recipes[j], (counts[i] * counts[j]).astype(float), float((counts * (counts - 1) // 2).sum())
 
 
+@lru_cache(maxsize=256)
+def _antichains(n: int, above: tuple[int, ...], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The masks from ``low`` to ``high`` - 1 without a node and its ancestor, and their numbers of nodes; problems whose
+    nodes lie alike share them."""
+    masks = np.arange(max(low, 1), high, dtype=np.int64)
+    for i, up in enumerate(above):
+        if up:
+            masks = masks[((masks >> (n - 1 - i)) & 1 == 0) | (masks & up == 0)]
+    return masks, np.bitwise_count(masks).astype(np.int64)
+
+
 def best_of_all(n: int, above: np.ndarray, recipes: np.ndarray, counts: np.ndarray, low: int, high: int) -> tuple[float, int]:
     """The best (score, mask) of the masks from ``low`` to ``high`` - 1.  Node i is bit n - 1 - i, ``above[i]`` the
     mask of its ancestors.  Antichains only; fewer than LEAST_NODES score -1; of equal scores more nodes
     win, then the nodes that come first."""
-    masks = np.arange(max(low, 1), high, dtype=np.int64)
-    good = np.ones(len(masks), bool)
-    for i in range(n):
-        good &= ((masks >> (n - 1 - i)) & 1 == 0) | (masks & above[i] == 0)
-    masks = masks[good]
+    masks, size = _antichains(n, tuple(int(x) for x in above), low, high)
     if not len(masks):
         return -2.0, 0
-    size = np.bitwise_count(masks)
-    score = np.where(size >= LEAST_NODES, _scores(masks, *_pairs(recipes, counts)), -1.0)
-    best = np.lexsort((-masks, -size.astype(int), -score))[0]
-    return float(score[best]), int(masks[best])
+    enough = size >= LEAST_NODES
+    if enough.any():
+        masks, size = masks[enough], size[enough]
+        score = _scores(masks, *_pairs(recipes, counts))
+    else:
+        score = np.full(len(masks), -1.0)
+    best = score == score.max()
+    masks, size = masks[best], size[best]
+    return float(score.max()), int(masks[size == size.max()].max())
 
 
 def climb(n: int, above: list[int], recipes: list[int], counts: list[int], hits: list[int]) -> tuple[float, int]:
@@ -139,39 +152,51 @@ def best_subsets(presence: DataFrame, nodes: DataFrame, paths: DataFrame) -> Dat
     """(problem, nodes, score): the antichain of each problem's nodes under which its recipes are most alike.
 
     ``presence`` has distinct (problem, recipe_id, node), recipes without a node in ``nodes`` included by a null
-    node; ``nodes`` the candidates (problem, node); ``paths`` (node, ancestor, depth).  Up to EXACT_NODES nodes all
-    subsets are tried, MASKS_A_ROW of them a row, so a problem is split over tasks; above, ``climb``.
-    Recipes that hold the same nodes are one row with a count.
+    node; ``nodes`` the candidates (problem, node); ``paths`` (node, ancestor, depth).
     """
-    placed = nodes.select("problem", "node").distinct().withColumn("i", F.row_number().over(Window.partitionBy("problem").orderBy("node")) - 1)
-    placed = checkpointed(placed)
-    above = paths.where("depth > 0").join(placed, "node").join(placed.select("problem", F.col("node").alias("ancestor"), F.col("i").alias("up")), ["problem", "ancestor"])
-    above = above.groupBy("problem", "i").agg(F.collect_set("up").alias("ups"))
-    hits = presence.join(placed, ["problem", "node"]).groupBy("problem", "i").agg(F.count(F.lit(1)).alias("hits"))
-    per_node = placed.join(above, ["problem", "i"], "left").join(hits, ["problem", "i"], "left")
-    named = per_node.groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("i", "node", F.coalesce("ups", F.array().cast("array<int>")).alias("ups"), F.coalesce("hits", F.lit(0)).alias("hits")))).alias("nodes"))
-    held = presence.join(placed, ["problem", "node"], "left").groupBy("problem", "recipe_id").agg(F.array_sort(F.collect_set("i")).alias("held"))
-    recipes = held.groupBy("problem", "held").agg(F.count(F.lit(1)).alias("n")).groupBy("problem").agg(F.collect_list(F.struct("held", "n")).alias("recipes"))
-    whole = named.join(recipes, "problem").withColumn("n", F.size("nodes"))
-    blocks = F.when(F.col("n") <= EXACT_NODES, F.sequence(F.lit(0), F.floor((F.pow(F.lit(2.0), F.least("n", F.lit(EXACT_NODES))) - 1) / MASKS_A_ROW).cast("int"))).otherwise(F.array(F.lit(-1)))
+    held = presence.groupBy("problem", "recipe_id").agg(F.array_sort(F.collect_set("node")).alias("held"))
+    return best_subsets_of(held.groupBy("problem", "held").agg(F.count(F.lit(1)).alias("n")), nodes, paths)
+
+
+def best_subsets_of(sets: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """``best_subsets`` of recipes given as (problem, held, n): how many recipes of the problem hold just these nodes.
+
+    Up to EXACT_NODES nodes all subsets are tried, MASKS_A_ROW of them a row, so a problem is split over tasks; above,
+    ``climb``.  Recipes that hold the same candidates are one row with a count.  Ancestors are asked of the ontology
+    once a node, and all of a problem is made from its row of candidates by one shuffle.
+    """
+    ups = paths.where("depth > 0").groupBy("node").agg(F.collect_set("ancestor").alias("ups"))
+    named = nodes.select("problem", "node").distinct().join(ups, "node", "left").groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("node", "ups"))).alias("c"))
+    # read twice, and apart from the joins so that a task holds fewer sorts at a time
+    named = named.select("problem", F.col("c.node").alias("nodes"), F.transform("c.ups", lambda u: F.coalesce(u, F.array().cast("array<string>"))).alias("ups"))
+    named = stored(named, "named")
+    places = lambda names: F.transform(F.array_intersect("nodes", names), lambda x: F.array_position("nodes", x).cast("int") - 1)
+    met = sets.join(named, "problem").groupBy("problem", places(F.col("held")).alias("held")).agg(F.sum("n").alias("n"))
+    recipes = met.groupBy("problem").agg(F.collect_list(F.struct("held", "n")).alias("r"))
+    whole = named.join(recipes, "problem").select("problem", "nodes", F.transform("ups", places).alias("ups"), F.col("r.held").alias("held"), F.col("r.n").alias("counts"))
+    n = F.size("nodes")
+    blocks = F.when(n <= EXACT_NODES, F.sequence(F.lit(0), F.floor((F.pow(F.lit(2.0), F.least(n, F.lit(EXACT_NODES))) - 1) / MASKS_A_ROW).cast("int"))).otherwise(F.array(F.lit(-1)))
     rows = whole.withColumn("block", F.explode(blocks)).repartition(F.col("problem"), F.col("block"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for problem, ns, rs, n, block in zip(frame["problem"], frame["nodes"], frame["recipes"], frame["n"], frame["block"]):
-                bits = lambda held: sum(1 << (n - 1 - int(i)) for i in held)  # noqa: E731, B023
-                up, masks, counts = [bits(x["ups"]) for x in ns], [bits(r["held"]) for r in rs], [int(r["n"]) for r in rs]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen, scores = [], []
+            for names, ups, held, counts, block in zip(*(batch.column(c).to_pylist() for c in ("nodes", "ups", "held", "counts", "block"))):
+                n = len(names)
+                bits = lambda at: sum(1 << (n - 1 - i) for i in at)  # noqa: E731, B023
+                up, masks = [bits(x) for x in ups], [bits(x) for x in held]
                 if block < 0:
-                    score, mask = climb(n, up, masks, counts, [int(x["hits"]) for x in ns])
+                    hits = [sum(c for x, c in zip(masks, counts) if x >> (n - 1 - i) & 1) for i in range(n)]
+                    score, mask = climb(n, up, masks, counts, hits)
                 else:
                     low, high = block * MASKS_A_ROW, min((block + 1) * MASKS_A_ROW, 1 << n)
-                    score, mask = best_of_all(n, np.array(up, np.int64), np.array(masks, np.int64), np.array(counts, np.int64), low, high)
-                chosen = [x["node"] for i, x in enumerate(ns) if mask >> (n - 1 - i) & 1]
-                out.append((problem, chosen, len(chosen), score))
-            yield pd.DataFrame(out, columns=["problem", "nodes", "size", "score"])
-
-    kind = presence.schema["problem"].dataType.simpleString()
-    found = rows.mapInPandas(run, f"problem {kind}, nodes array<string>, size long, score double")
+                    score, mask = best_of_all(n, up, np.array(masks, np.int64), np.array(counts, np.int64), low, high)
+                chosen.append([x for i, x in enumerate(names) if mask >> (n - 1 - i) & 1])
+                scores.append(score)
+            size = pa.array([len(c) for c in chosen], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("problem"), pa.array(chosen, pa.list_(pa.string())), size, pa.array(scores, pa.float64())], names=["problem", "nodes", "size", "score"])
+
+    kind = sets.schema["problem"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"problem {kind}, nodes array<string>, size long, score double")
     best = found.groupBy("problem").agg(F.min_by(F.struct("nodes", "score"), F.struct(-F.col("score"), -F.col("size"), F.col("nodes"))).alias("b"))
     return best.select("problem", "b.nodes", "b.score")
