@@ -169,7 +169,7 @@ def best_subsets_of(sets: DataFrame, nodes: DataFrame, paths: DataFrame) -> Data
     named = nodes.select("problem", "node").distinct().join(ups, "node", "left").groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("node", "ups"))).alias("c"))
     # read twice, and apart from the joins so that a task holds fewer sorts at a time
     named = named.select("problem", F.col("c.node").alias("nodes"), F.transform("c.ups", lambda u: F.coalesce(u, F.array().cast("array<string>"))).alias("ups"))
-    named = stored(named, "named")
+    named = stored(named, "named").hint("merge")  # compressed, it looks small enough for a broadcast
     places = lambda names: F.transform(F.array_intersect("nodes", names), lambda x: F.array_position("nodes", x).cast("int") - 1)
     met = sets.join(named, "problem").groupBy("problem", places(F.col("held")).alias("held")).agg(F.sum("n").alias("n"))
     recipes = met.groupBy("problem").agg(F.collect_list(F.struct("held", "n")).alias("r"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import hierarchy, relational as rel
+from millrace.operators.lineage import stored
 from millrace.plans.tables import foods, leaf, ontology, recipe_lines, table
 
 
@@ -272,17 +273,19 @@ def x6_labels_and_more(spark, sf_dir):
 
 def x11_missing_nodes(spark, sf_dir):
     """Per recipe the three most used brands that it lacks: of the brands by use, the first (brands that the
-    recipe has) + 3 hold them, so no recipe meets all brands."""
-    hits = recipe_lines(spark, sf_dir).join(foods(spark, sf_dir).select("food_id", "brand"), "food_id").select("recipe_id", "brand").distinct()
-    popular = hits.groupBy("brand").agg(F.count(F.lit(1)).alias("hits"))
-    has = hits.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("has"))
-    most = has.agg(F.max("has")).first()[0] or 0
+    recipe has) + 3 hold them, so no recipe meets all brands.  A recipe's brands are one short array."""
+    lines = recipe_lines(spark, sf_dir).join(foods(spark, sf_dir).select("food_id", "brand"), "food_id")
+    held = stored(lines.groupBy("recipe_id").agg(F.collect_set(F.struct("brand")).alias("held")))
+    popular = held.select(F.inline("held")).groupBy("brand").agg(F.count(F.lit(1)).alias("hits"))
+    most = held.agg(F.max(F.size("held"))).first()[0] or 0
     first = popular.orderBy(F.desc("hits"), "brand").limit(most + 3)  # as many rows as the largest recipe has, and 3
-    first = first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hits"), "brand")))
-    recipes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recipe_id")).join(has, "recipe_id", "left")
-    near = recipes.join(F.broadcast(first), F.col("place") <= F.coalesce("has", F.lit(0)) + 3)
-    lacking = near.join(hits, ["recipe_id", "brand"], "left_anti")
-    return rel.top_k(lacking, ["recipe_id"], [F.desc("hits"), F.asc("brand")], 3).select("recipe_id", "brand", "hits")
+    first = first.agg(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("less"), "brand"))).alias("first"))
+    recipes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recipe_id")).join(held.hint("merge"), "recipe_id", "left").crossJoin(F.broadcast(first))
+    # merged, as compressed arrays look small enough for a broadcast and are not
+    has = F.when(F.col("held").isNull(), 0).otherwise(F.size("held"))
+    lacks = lambda x: ~F.coalesce(F.array_contains("held.brand", x["brand"]), F.lit(False))
+    three = F.slice(F.filter(F.slice("first", 1, has + 3), lacks), 1, 3)
+    return recipes.select("recipe_id", F.inline(three)).select("recipe_id", "brand", (-F.col("less")).alias("hits"))
 
 
 def x19_step_deltas(spark, sf_dir):
