@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fuzzy, scores, text
 from millrace.operators import dedup_plan
+from millrace.operators.lineage import stored
 from millrace.plans import scalar_queries, vector_queries
 from millrace.plans.scalar_queries import TERMS
 from millrace.plans.tables import foods, table
@@ -14,23 +15,30 @@ from millrace.plans.tables import foods, table
 LEAST = (0.3, 0.3, 0.3)
 
 
-def _food_terms(spark, sf_dir):
-    return foods(spark, sf_dir).select("food_id", "description", F.explode(F.array(*map(F.lit, TERMS))).alias("term"))
+def _term_scores(spark, sf_dir, name, score, tokens=False):
+    """(food_id, term, name): every food's name against a stated list of terms.  A name is scored once, whatever foods
+    bear it; ``score`` reads the columns term and description and, with ``tokens``, t and d."""
+    made = lambda x: text.tokens(x) if tokens else F.array().cast("array<string>")
+    food = foods(spark, sf_dir).select("food_id", "description")
+    # tokens are made in a step of their own: expressions put together would make them again wherever they are read
+    names = stored(food.select("description").distinct().select("description", made(F.col("description")).alias("d")), "names")
+    terms = F.inline(F.array(*[F.struct(F.lit(x).alias("term"), made(F.lit(x)).alias("t")) for x in TERMS]))
+    scored = names.select("description", "d", terms).select("description", "term", F.round(score, 6).alias(name))
+    scores_ = stored(scored.groupBy("description").agg(F.collect_list(F.struct("term", name)).alias("scores")), "scores")
+    met = food.alias("f").join(scores_.alias("s"), F.expr("f.description <=> s.description"))
+    return met.select("food_id", F.inline("scores"))
 
 
 def st19_token_set_ratio(spark, sf_dir):
-    """Every food against a stated list of terms."""
-    ratio = fuzzy.token_set_ratio("term", "description")
-    return _food_terms(spark, sf_dir).select("food_id", "term", F.round(ratio, 6).alias("ratio"))
+    return _term_scores(spark, sf_dir, "ratio", fuzzy.token_set_ratio("term", "description"))
 
 
 def st20_lexical_overlap(spark, sf_dir):
-    t, d = text.tokens(F.col("term")), text.tokens(F.col("description"))
-    return _food_terms(spark, sf_dir).select("food_id", "term", F.round(fuzzy.lexical_overlap(t, d, F.col("description")), 6).alias("score"))
+    return _term_scores(spark, sf_dir, "score", fuzzy.lexical_overlap(F.col("t"), F.col("d"), F.col("description")), tokens=True)
 
 
 def st22_label_scores(spark, sf_dir):
-    return _food_terms(spark, sf_dir).select("food_id", "term", F.round(fuzzy.label_score(F.col("term"), F.col("description")), 6).alias("score"))
+    return _term_scores(spark, sf_dir, "score", fuzzy.label_score(F.col("term"), F.col("description")))
 
 
 def v3_token_set_pairs(spark, sf_dir):
