@@ -14,12 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRID = 10**8
 #: Points that a task holds before it reduces its groups.
 HELD_POINTS = 200_000
+#: Points of a group in a task that are passed on as they are.
+FEW_POINTS = 16
 #: Vertices times points of the hulls worked on together.
 CELLS = 500_000
 #: Distance, as a share, up to which a point counts as inside.
@@ -54,26 +57,33 @@ def convex_hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chains[0] + chains[1]
 
 
-def hulls(points: DataFrame, group: str) -> DataFrame:
-    """(group, xs, ys): the hull of each group's points; ``points`` has the group (a whole number), x and y."""
+def _reduced(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The points of batches, those of groups with more than ``FEW_POINTS`` reduced to their hull: less is not worth it."""
+    table = pa.Table.from_batches(held)
+    grp, x, y = (table.column(c).to_numpy() for c in ("grp", "x", "y"))
+    _, at, n = np.unique(grp, return_inverse=True, return_counts=True)
+    many = n[at] > FEW_POINTS
+    yield from table.filter(pa.array(~many)).to_batches()
+    groups: dict[int, list] = defaultdict(list)
+    for g, px, py in zip(grp[many].tolist(), x[many].tolist(), y[many].tolist()):
+        groups[g].append((px, py))
+    rows = np.array([(g, *v) for g, p in groups.items() for v in convex_hull(p)], np.int64).reshape(-1, 3)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["grp", "x", "y"])
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = defaultdict(list)
-        n = 0
 
-        def reduced() -> pd.DataFrame:
-            rows = [(g, x, y) for g, p in held.items() for x, y in convex_hull(p)]
-            return pd.DataFrame(rows, columns=["grp", "x", "y"])
+def hulls(points: DataFrame, group: str) -> DataFrame:
+    """(group, xs, ys): the hull of each group's points; ``points`` has the group (a whole number), x and y."""
 
-        for frame in frames:
-            for g, x, y in zip(frame["grp"].tolist(), frame["x"].tolist(), frame["y"].tolist()):
-                held[g].append((x, y))
-            n += len(frame)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
             if n >= HELD_POINTS:
-                yield reduced()
-                held.clear()
-                n = 0
-        yield reduced()
+                yield from _reduced(held)
+                held, n = [], 0
+        if held:
+            yield from _reduced(held)
 
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -81,7 +91,7 @@ def hulls(points: DataFrame, group: str) -> DataFrame:
             yield pd.DataFrame({"grp": frame["grp"], "xs": [[v[0] for v in h] for h in found], "ys": [[v[1] for v in h] for h in found]})
 
     named = points.select(F.col(group).cast("long").alias("grp"), "x", "y").where("grp is not null and x is not null and y is not null").distinct()
-    met = named.mapInPandas(partial, "grp long, x long, y long")
+    met = named.mapInArrow(partial, "grp long, x long, y long")
     gathered = met.groupBy("grp").agg(F.collect_list(F.struct("x", "y")).alias("v"))
     return gathered.select("grp", F.col("v.x").alias("xs"), F.col("v.y").alias("ys")).mapInPandas(merged, "grp long, xs array<long>, ys array<long>").withColumnRenamed("grp", group)
 
@@ -103,6 +113,28 @@ def distances(xs: np.ndarray, ys: np.ndarray, px: np.ndarray, py: np.ndarray) ->
     return np.where(turning & ~flat, 0.0, apart)
 
 
+def _within_a_step(xs: np.ndarray, ys: np.ndarray):
+    """Whether one point a row is at most one step of the grid from the hull of its row, as ``distances`` measures it,
+    as a function of the points.  What depends on the hulls alone is made once, and lengths only of points close by."""
+    dx, dy = np.roll(xs, -1, axis=1) - xs, np.roll(ys, -1, axis=1) - ys
+    squared = (dx * dx + dy * dy).astype(float)
+    divisor = np.where(squared > 0, squared, 1)
+    solid = ~((dx * np.roll(dy, -1, axis=1) - dy * np.roll(dx, -1, axis=1)) <= 0).all(axis=1)
+
+    def inside(px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        rx, ry = px[:, None] - xs, py[:, None] - ys
+        found = solid & (dx * ry - dy * rx >= 0).all(axis=1)
+        out = np.flatnonzero(~found)
+        rx, ry, ox, oy = rx[out], ry[out], dx[out], dy[out]
+        t = np.clip((rx * ox + ry * oy) / divisor[out], 0, 1)
+        ex, ey = rx - t * ox, ry - t * oy
+        close = np.flatnonzero(((ex * ex + ey * ey) < 4).any(axis=1))
+        found[out[close]] = np.hypot(ex[close], ey[close]).min(axis=1) / GRID <= 1 / GRID
+        return found
+
+    return inside
+
+
 def _padded(frame: pd.DataFrame, points: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Rows of about equal hulls with their vertices as matrices, small enough to work on together."""
     sizes = frame["xs"].map(len).to_numpy()
@@ -165,10 +197,10 @@ def boundary_ways(xs: np.ndarray, ys: np.ndarray, at: np.ndarray, towards: np.nd
     span = 2.0 * np.maximum(np.maximum(np.ptp(xs, axis=1), np.ptp(ys, axis=1)), 1)
     length = np.hypot(towards[:, 0], towards[:, 1])
     low, high = np.zeros(len(towards)), np.where(length > 0, span / np.maximum(length, 1e-300), 0.0)
+    close = _within_a_step(xs, ys)
     for _ in range(BISECTIONS):
         middle = (low + high) / 2
-        x, y = (np.rint(at[:, k] + middle * towards[:, k]).astype(np.int64)[:, None] for k in (0, 1))
-        inside = distances(xs, ys, x, y)[:, 0] <= 1 / GRID
+        inside = close(*(np.rint(at[:, k] + middle * towards[:, k]).astype(np.int64) for k in (0, 1)))
         low, high = np.where(inside, middle, low), np.where(inside, high, middle)
     return low
 
