@@ -15,7 +15,8 @@ vocabulary is ever in one place.
 Training: on every training document, each in one of ``ROUNDS`` rounds.  Documents are dealt to replicas
 by a hash of their text, ``REPLICA_TOKENS`` to each, however many it takes; so the model does not
 depend on how the input is partitioned.  They run in parallel lanes, windows of ``WINDOW`` tokens with
-truncated backpropagation, the state carried from window to window and reset between documents.
+truncated backpropagation, the state carried from window to window and reset between documents; of
+documents longer than ``STRETCH`` tokens each stretch has a state of its own, so that lanes end together.
 After each round replicas are averaged by weight.  Output biases start from the exact counts.
 Scoring: whole documents in lanes, state carried across all windows.
 
@@ -28,12 +29,14 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -46,14 +49,16 @@ TAIL_CLASSES = 64
 HIDDEN = 24
 WINDOW, SCORE_WINDOW, LANES = 16, 32, 384
 #: States whose outputs are computed at once.
-BLOCK = 1024
-#: Tokens that run in lanes together.
-TOGETHER = 1_500_000
+BLOCK = 256
+#: Tokens that run in lanes together, and the longest stretch of a document that training reads with one state.
+TOGETHER, STRETCH = 4_000_000, 1024
 ROUNDS = 2
 RATE, CLIP = 0.2, 1.0
 #: Tokens of a chunk, distinct words of chunks in a shard, tokens that a replica trains on, and
 #: replicas that are averaged at once.
 CHUNK_WORDS, SHARD_WORDS, REPLICA_TOKENS, FAN_IN = 1_000_000, 2_000_000, 4_000_000, 32
+#: Bytes of text that are split into words at once.
+SLICE_BYTES = 1 << 23
 LOG10 = np.log(10.0)
 
 TOP_CLASSES = TOP_WORDS // CLASS_SIZE
@@ -108,56 +113,73 @@ def _slope(squashed: np.ndarray) -> np.ndarray:
     return np.square(out, out=out)
 
 
-#: Of a float's bits seen as an integer: one unit of the exponent, and the exponent of 1.
-_UNIT, _ONE = np.float32(1 << 23), np.int32(127 << 23)
+_PLACES, _ONES = np.arange(BLOCK), np.ones(max(CLASSES, CLASS_SIZE), np.float32)
 
 
-def _near_exp(y: np.ndarray) -> np.ndarray:
-    """exp(y) within one percent, for gradients: the ratio of two powers of two whose mantissas run
-    straight, so that their errors mostly cancel.  y: between -80 and 80; overwritten."""
-    y *= _UNIT / np.float32(2 * np.log(2.0))
-    up = y.astype(np.int32)
-    down = _ONE - up
-    up += _ONE
-    return np.divide(up.view(np.float32), down.view(np.float32), out=y)
+def _tables(weight: np.ndarray, bias: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of ``groups`` equal groups of rows: what makes logits of states that end in a one, the
+    weights with a column of ones, and whether the logits need no maximum.
 
-
-def _shifts(weight: np.ndarray, bias: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shift, spread) of the logits ``weight @ x + bias`` in each of ``groups`` equal groups of rows.
-
-    States lie between -1 and 1, so weights and biases bound the logits: ``shift`` is the greatest
-    any can be, and where ``spread`` is small, it serves all columns in place of their maximum.
+    States lie between -1 and 1, so weights and biases bound the logits: they are moved by the greatest
+    that any of a group can be, which serves all states in place of their maximum where that is near.
     """
     reach = np.abs(weight).sum(axis=1)
     high, low = (bias + reach).reshape(groups, -1).max(axis=1), (bias - reach).reshape(groups, -1).max(axis=1)
-    return high, high - low
-
-
-def _logits(weight: np.ndarray, bias: np.ndarray, x: np.ndarray, shift: np.float32, spread: float) -> np.ndarray:
-    """``weight @ x + bias``, each column moved so that its greatest is at most 0 and far from vanishing."""
-    y = weight @ x
-    if spread < 60:
-        y += (bias - shift)[:, None]
-    else:
-        y += bias[:, None]
-        y -= y.max(axis=0)
-        np.maximum(y, np.float32(-80), out=y)
+    wide = np.concatenate([weight, bias[:, None]], axis=1).reshape(groups, -1, weight.shape[1] + 1)
+    wide[:, :, -1] -= high[:, None]
+    logits_of = np.ascontiguousarray(wide.transpose(0, 2, 1))
+    wide[:, :, -1] = 1
+    return logits_of, wide, high - low < 60
+
+
+def _logits(x: np.ndarray, logits_of: np.ndarray, bounded: bool) -> np.ndarray:
+    """One row for each state, moved so that its greatest is at most 0 and far from vanishing."""
+    y = x @ logits_of
+    if not bounded:
+        y -= y.max(axis=1, keepdims=True)
     return y
 
 
+def _log_softmax(x: np.ndarray, logits_of: np.ndarray, bounded: bool, k: np.ndarray) -> np.ndarray:
+    """The log-probability of entry ``k`` of each state."""
+    y = _logits(x, logits_of, bounded)
+    at = y[_PLACES[: len(k)], k]
+    return at - np.log(np.exp(y, out=y) @ _ONES[: y.shape[1]])
+
+
+def _add_softmax(x: np.ndarray, logits_of: np.ndarray, wide: np.ndarray, bounded: bool, d_x: np.ndarray, sums: np.ndarray) -> None:
+    """Add the softmax times the weights to ``d_x``, times the states to ``sums``, a column for each weight."""
+    e = _logits(x, logits_of, bounded)
+    np.exp(e, out=e)
+    out = e @ wide
+    part = 1 / out[:, -1:]
+    d_x += out[:, :-1] * part
+    sums += (x * part).T @ e
+
+
 def _class_of(goal: np.ndarray) -> np.ndarray:
     return np.where(goal < TOP_WORDS, goal // CLASS_SIZE, goal - TOP_WORDS + TOP_CLASSES)
 
 
-def _take_runs(weights: np.ndarray, biases: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> None:
-    """Subtract the states that belong to a row from that row of ``weights``, their number from ``biases``."""
-    weights -= _summed(flat, rows, len(weights))
-    biases -= np.bincount(rows, minlength=len(biases)).astype(np.float32)
+def _run_sums(rows: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, the sums of their rows); equal numbers follow each other."""
+    at = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return numbers[at], np.add.reduceat(rows, at, axis=0)
+
 
+def _by_class(kind: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The classes of frequent words that occur, each with its places; ``kind`` is in order."""
+    cuts = np.searchsorted(kind, np.arange(TOP_CLASSES + 1))
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        for a in range(cuts[c], cuts[c + 1], BLOCK):
+            yield c, slice(a, min(a + BLOCK, cuts[c + 1]))
 
-def _summed(columns: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """(n, features): the sums of the columns that share a row number."""
-    return np.array([np.bincount(rows, feature, n) for feature in columns], np.float32).T
+
+def _rows(states: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The states at ``places`` as rows that end in a one."""
+    out = np.ones((states.shape[1], len(states) + 1), np.float32)
+    out[:, :-1] = states.T
+    return out.take(places, axis=0)
 
 
 class Gru:
@@ -175,58 +197,43 @@ class Gru:
     def _outputs(self, flat: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Log-probabilities of ``goal`` for states ordered by class."""
         p, n, kind = self.p, len(goal), _class_of(goal)
-        found, columns = np.empty(n, np.float32), np.arange(n)
-        (shift,), (spread,) = _shifts(p["class_weight"], p["class_bias"], 1)
-        shifts, spreads = _shifts(p["word_weight"], p["word_bias"], TOP_CLASSES)
-
-        def log_softmax(y: np.ndarray, k: np.ndarray) -> np.ndarray:
-            at = y[k, columns[: len(k)]]
-            return at - np.log(np.exp(y, out=y).sum(axis=0))
-
+        found = np.empty(n, np.float32)
+        logits_of, _, bounded = _tables(p["class_weight"], p["class_bias"], 1)
         for a in range(0, n, BLOCK):  # blocks stay in the processor's cache
             own = slice(a, a + BLOCK)
-            found[own] = log_softmax(_logits(p["class_weight"], p["class_bias"], flat[:, own], shift, spread), kind[own])
-        cuts = np.searchsorted(kind, np.arange(TOP_CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own, words = slice(cuts[c], cuts[c + 1]), slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-            found[own] += log_softmax(_logits(p["word_weight"][words], p["word_bias"][words], flat[:, own], shifts[c], spreads[c]), goal[own] - c * CLASS_SIZE)
+            found[own] = _log_softmax(flat[own], logits_of[0], bounded[0], kind[own])
+        logits_of, _, bounded = _tables(p["word_weight"], p["word_bias"], TOP_CLASSES)
+        for c, own in _by_class(kind):
+            found[own] += _log_softmax(flat[own], logits_of[c], bounded[c], goal[own] - c * CLASS_SIZE)
         return found
 
     def _output_gradients(self, flat: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Gradients by ``flat``, states ordered by goal, and by the output parameters.
 
         The gradient by the logits is the softmax less one at the goal.  The part of the goals is
-        summed over runs of equal goals, the softmax is divided by its sum where it has few rows.
+        summed over runs of equal goals, the softmax is divided by its sum where it has few columns.
         """
         p, n, kind = self.p, len(goal), _class_of(goal)
-        d_flat = np.ascontiguousarray(p["class_weight"].T).take(kind, axis=1)
-        np.negative(d_flat, out=d_flat)
-        weights, biases = np.zeros_like(p["class_weight"]), np.zeros_like(p["class_bias"])
-        _take_runs(weights, biases, flat, kind)
-        (shift,), (spread,) = _shifts(p["class_weight"], p["class_bias"], 1)
+        d_flat = -p["class_weight"].take(kind, axis=0)
+        top = np.searchsorted(kind, TOP_CLASSES)
+        d_flat[:top] -= p["word_weight"].take(goal[:top], axis=0)
+        logits_of, wide, bounded = _tables(p["class_weight"], p["class_bias"], 1)
+        classes = np.zeros_like(logits_of[0])
         for a in range(0, n, BLOCK):
             own = slice(a, a + BLOCK)
-            x = flat[:, own]
-            e = _near_exp(_logits(p["class_weight"], p["class_bias"], x, shift, spread))
-            part = 1 / e.sum(axis=0)
-            d_flat[:, own] += (p["class_weight"].T @ e) * part
-            weights += e @ (x * part).T
-            biases += e @ part
-        word_weights, word_biases = np.zeros_like(p["word_weight"]), np.zeros_like(p["word_bias"])
-        cuts = np.searchsorted(kind, np.arange(TOP_CLASSES + 1))
-        top = cuts[-1]
-        d_flat[:, :top] -= np.ascontiguousarray(p["word_weight"].T).take(goal[:top], axis=1)
-        _take_runs(word_weights, word_biases, flat[:, :top], goal[:top])
-        shifts, spreads = _shifts(p["word_weight"], p["word_bias"], TOP_CLASSES)
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own, words = slice(cuts[c], cuts[c + 1]), slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-            x, weight = flat[:, own], p["word_weight"][words]
-            e = _near_exp(_logits(weight, p["word_bias"][words], x, shifts[c], spreads[c]))
-            part = 1 / e.sum(axis=0)
-            d_flat[:, own] += (weight.T @ e) * part
-            word_weights[words] += e @ (x * part).T
-            word_biases[words] += e @ part
-        return d_flat, {"class_weight": weights, "class_bias": biases, "word_weight": word_weights, "word_bias": word_biases}
+            _add_softmax(flat[own], logits_of[0], wide[0], bounded[0], d_flat[own], classes)
+        logits_of, wide, bounded = _tables(p["word_weight"], p["word_bias"], TOP_CLASSES)
+        words = np.zeros_like(logits_of)
+        for c, own in _by_class(kind):
+            _add_softmax(flat[own], logits_of[c], wide[c], bounded[c], d_flat[own], words[c])
+        classes, words = classes.T, words.transpose(0, 2, 1).reshape(TOP_WORDS, -1)
+        goals, taken = _run_sums(flat, goal)
+        many = np.searchsorted(goals, TOP_WORDS)
+        words[goals[:many]] -= taken[:many]
+        kinds, taken = _run_sums(taken, _class_of(goals))
+        classes[kinds] -= taken
+        parts = {"class_weight": classes[:, :-1], "class_bias": classes[:, -1], "word_weight": words[:, :-1], "word_bias": words[:, -1]}
+        return d_flat, {k: np.ascontiguousarray(v) for k, v in parts.items()}
 
     def window(self, h: np.ndarray, read: np.ndarray, target: np.ndarray, fresh: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """(state after the window, log-probabilities of the targets that are live, row by row).
@@ -244,14 +251,14 @@ class Gru:
                 self._descend(self.gradients(states, kept, x, read, fresh, live[order], goal[order]))
             return h, None
         log_probability = np.empty(len(goal), np.float32)
-        log_probability[order] = self._outputs(states.take(live[order], axis=1), goal[order])
+        log_probability[order] = self._outputs(_rows(states, live[order]), goal[order])
         return h, log_probability
 
     def gradients(self, states: np.ndarray, kept: list, x: np.ndarray, read: np.ndarray, fresh: np.ndarray, places: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of minus the sum of the log-probabilities of a window; ``places`` hold ``goal``, in its order."""
-        d_states = np.zeros_like(states)
-        d_states[:, places], grad = self._output_gradients(states.take(places, axis=1), goal)
-        return grad | self._back(d_states, kept, x, read, fresh)
+        d_rows = np.zeros((states.shape[1], HIDDEN), np.float32)
+        d_rows[places], grad = self._output_gradients(_rows(states, places), goal)
+        return grad | self._back(np.ascontiguousarray(d_rows.T), kept, x, read, fresh)
 
     def _forward(self, h: np.ndarray, read: np.ndarray, fresh: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
         """(state after the window, all states, what ``_back`` needs of each step, inputs)."""
@@ -315,8 +322,11 @@ class Gru:
             d_h += back @ d_u
             if fresh[t].any():
                 d_h[:, fresh[t]] = 0
-        embedding = _summed(p["input"].T @ d_gates, read.ravel(), SYMBOLS)
-        return {"recurrent": d_recurrent, "gate_bias": d_gates.sum(axis=1), "input": d_gates @ x, "embedding": np.ascontiguousarray(embedding)}
+        order = np.argsort(read.ravel().astype(np.uint16), kind="stable")
+        symbols, sums = _run_sums((d_gates.T @ p["input"]).take(order, axis=0), read.ravel()[order])
+        embedding = np.zeros_like(p["embedding"])
+        embedding[symbols] = sums
+        return {"recurrent": d_recurrent, "gate_bias": d_gates.sum(axis=1), "input": d_gates @ x, "embedding": embedding}
 
     def _descend(self, grad: dict[str, np.ndarray]) -> None:
         # windows in which few lanes still run move the weights little
@@ -333,18 +343,32 @@ class Gru:
             self.p[k] -= g
 
 
+def stretches(sizes: np.ndarray) -> np.ndarray:
+    """The sizes of documents that follow each other, those of more than STRETCH tokens cut into stretches of that size and a rest."""
+    many = -(-sizes // STRETCH)
+    out = np.full(many.sum(), STRETCH)
+    out[np.cumsum(many) - 1] = sizes - (many - 1) * STRETCH
+    return out
+
+
 def run_documents(net: Gru, symbols: np.ndarray, sizes: np.ndarray, train: bool) -> np.ndarray:
     """Natural log-probability of each document (its symbols one after the other in ``symbols``).
 
     Documents are dealt to lanes, longest first to the shortest lane; lanes that have ended drop out.
+    To train, stretches of documents are dealt, so that no few lanes with long texts run on alone.
     """
+    before = np.append(np.uint16(END_SYMBOL), symbols[:-1])
+    before[np.cumsum(sizes)[:-1]] = END_SYMBOL
+    if train:
+        sizes = stretches(sizes)
     starts = np.cumsum(sizes) - sizes
     lanes: list[list[int]] = [[] for _ in range(min(LANES, len(sizes)))]
-    filled = np.zeros(len(lanes), np.int64)
+    shortest = [(0, lane) for lane in range(len(lanes))]
     for k in np.argsort(-sizes, kind="stable").tolist():
-        lane = int(filled.argmin())
+        held, lane = shortest[0]
         lanes[lane].append(k)
-        filled[lane] += sizes[k]
+        heapq.heapreplace(shortest, (held + int(sizes[k]), lane))
+    filled = np.array([sizes[lane].sum() for lane in lanes])
     by = np.argsort(-filled, kind="stable")
     filled, lanes = filled[by], [lanes[k] for k in by]
     owner = np.concatenate([np.repeat(lane, sizes[lane]) for lane in lanes])
@@ -362,7 +386,7 @@ def run_documents(net: Gru, symbols: np.ndarray, sizes: np.ndarray, train: bool)
         document = owner[place]
         fresh = (token == starts[document]) & live
         target = np.where(live, symbols[token].astype(np.int64), -1)
-        read = np.where(fresh, END_SYMBOL, symbols[np.maximum(token - 1, 0)].astype(np.int64))
+        read = before[token].astype(np.int64)
         h, log_probability = net.window(h[:, :active], read, target, fresh, train)
         if log_probability is not None:
             total += np.bincount(document[live], log_probability, minlength=len(sizes))
@@ -385,16 +409,21 @@ def unpacked(data: bytes, dtype: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(dtype)
 
 
-class _Numbers(dict):
-    """Gives each new key the next number."""
-
-    def __missing__(self, key: bytes) -> int:
-        number = self[key] = len(self)
-        return number
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE_BYTES of text, by whole documents."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(batch)]
+        yield from (batch.slice(a, b - a) for a, b in itertools.pairwise(cuts) if a < b)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the lower-cased words of all texts one after the other, how many each text has)."""
+    listed = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = listed.flatten()
+    full = pc.not_equal(words, "")  # white space at an end leaves an empty one
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    return words.filter(full), np.diff(before[listed.offsets.to_numpy()])
 
 
 _CHUNKS = pa.schema(
@@ -412,27 +441,36 @@ def _chunked(docs: DataFrame) -> DataFrame:
         part, index = TaskContext.get().partitionId(), 0
 
         def made() -> pa.RecordBatch:
-            words, every = list(numbers), np.concatenate(tokens)
+            coded = pa.concat_arrays(tokens).dictionary_encode()
+            words, every = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.uint32)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
             tails = tail_classes(words)
             seen = np.bincount(every[np.repeat(training, sizes)], minlength=len(words)).astype(np.uint64)
             row = [(part << 24) | index, len(words), hashes.tobytes(), tails.tobytes(), packed(seen), len(every), packed(every), ids, training, sizes, keys]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _CHUNKS.types)], schema=_CHUNKS)
 
-        ids, training, sizes, tokens, keys, held, numbers = [], [], [], [], [], 0, _Numbers()
-        for batch in batches:
-            for name, text, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words = _words(text.as_py())
-                ids.append(name)
-                training.append(not out)
-                sizes.append(len(words))
-                tokens.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-                keys.append(xxhash.xxh3_64_intdigest(text.as_py() or "", len(words)) - (1 << 63))
-                held += len(words) + 1  # a document without words counts too, so that chunks are bounded
-                if held > CHUNK_WORDS:
+        ids, training, sizes, tokens, keys, held = [], [], [], [], [], 0
+        for batch in _sliced(batches):
+            words, many = split_words(batch.column(1))
+            raw = batch.column(1).cast(pa.binary())
+            ends = np.append(0, np.cumsum(many))
+            a = 0
+            while a < len(many):
+                # a document without words counts too, so that chunks are bounded
+                over = np.flatnonzero(held + np.cumsum(many[a:] + 1) > CHUNK_WORDS)
+                b = a + int(over[0]) + 1 if len(over) else len(many)
+                own = many[a:b].tolist()
+                ids += batch.column(0)[a:b].to_pylist()
+                training += [not out for out in batch.column(2)[a:b].to_pylist()]
+                sizes += own
+                tokens.append(words[ends[a] : ends[b]])
+                keys += [xxhash.xxh3_64_intdigest(text.as_py() or b"", n) - (1 << 63) for text, n in zip(raw[a:b], own)]
+                held += sum(own) + b - a
+                if len(over):
                     yield made()
                     index += 1
-                    ids, training, sizes, tokens, keys, held, numbers = [], [], [], [], [], 0, _Numbers()
+                    ids, training, sizes, tokens, keys, held = [], [], [], [], [], 0
+                a = b
         if ids:
             yield made()
 
