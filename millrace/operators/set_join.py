@@ -45,22 +45,34 @@ def rarest_first(sets: DataFrame, counts: DataFrame, keys: list[str]) -> DataFra
     return apart.groupBy(*keys, "floor").agg(F.transform(ordered, lambda x: x["item"]).alias("items"))
 
 
-def rarest_first_sets(rows: DataFrame, key: str, item: str) -> DataFrame:
+def rarest_first_sets(rows: DataFrame, key: str, item: str, labels: DataFrame | None = None) -> DataFrame:
     """(key, items) of (key, item): the distinct items of each key, ordered by their count, then by item.  The items
-    are put in order as the sets are made, so the sets are not taken apart again."""
+    are put in order as the sets are made, so the sets are not taken apart again.  With ``labels``, which has item and
+    label, the distinct labels of a key's items come along as ``labels``, from the same two shuffles."""
     distinct = rows.where(F.col(item).isNotNull()).select(key, F.col(item).alias("item"))
     counts = stored(distinct.groupBy("item").agg(F.count(F.lit(1)).alias("item_count")), "counts")
-    ordered = F.array_sort(F.collect_set(F.struct("item_count", "item")))
-    return distinct.join(counts, "item").groupBy(key).agg(F.transform(ordered, lambda x: x["item"]).alias("items"))
+    sets = [F.transform(F.array_sort(F.collect_set(F.struct("item_count", "item"))), lambda x: x["item"]).alias("items")]
+    if labels is not None:
+        counts = counts.join(labels, "item", "left")
+        sets.append(F.collect_set("label").alias("labels"))
+    # rows are narrower than the partial sets that would be shuffled otherwise, as lines of a key seldom lie together
+    return distinct.join(counts, "item").repartition(key).groupBy(key).agg(*sets)
 
 
-def classes_of(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def classes_of(sets: DataFrame, key: str, *more: Column) -> tuple[DataFrame, DataFrame]:
     """Like ``classes`` for a stored table of ``rarest_first_sets``: (class, items, copies), and the members (key, class).
-    Only sets that occur more than once are looked up again; the others are their own class."""
-    made = stored(sets.groupBy("items").agg(F.min(key).alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
-    several = stored(made.where("copies > 1").select("items", "class"), "several")
+    Only sets that occur more than once are looked up again; the others are their own class.  ``more`` are further
+    aggregates of a class."""
+    made, copied = copies_of(sets, key, *more)
     alone = made.where("copies = 1").select(F.col("class").alias(key), "class")
-    return made, alone.unionByName(sets.join(several, "items").select(key, "class"))
+    return made, alone.unionByName(copied)
+
+
+def copies_of(sets: DataFrame, key: str, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """``classes_of`` with the members (key, class) of those classes alone that have more than one."""
+    made = stored(sets.groupBy("items").agg(F.min(key).alias("class"), F.count(F.lit(1)).alias("copies"), *more), "classes")
+    several = stored(made.where("copies > 1").select("items", "class"), "several")
+    return made, stored(sets.join(several, "items").select(key, "class"), "copies")
 
 
 def prefix_length(n: Column, floor: Column) -> Column:
@@ -79,8 +91,8 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.withColumn("l_n", F.size("l_items")).withColumn("r_n", F.size("r_items"))
 
 
-def _passing(met: DataFrame) -> DataFrame:
-    t = F.greatest("l_floor", "r_floor")
+def _passing(met: DataFrame, floor: Column) -> DataFrame:
+    t = floor
     needed = F.ceil(t / (1 + t) * (F.col("l_n") + F.col("r_n")) - EPS)
     size = (F.col("l_n") >= t * F.col("r_n") - EPS) & (F.col("r_n") >= t * F.col("l_n") - EPS)
     position = 1 + F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) - 1 >= needed
@@ -95,7 +107,7 @@ def filter_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     return (
         n(similar_sets(whole(left), whole(right)), "pairs_sharing")
         .crossJoin(n(met, "prefix_meetings"))
-        .crossJoin(n(_passing(met), "after_filters"))
+        .crossJoin(n(_passing(met, F.greatest("l_floor", "r_floor")), "after_filters"))
         .crossJoin(n(similar_sets(left, right), "pairs_found"))
     )
 
@@ -109,16 +121,18 @@ def similar_classes(sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("l_class").alias("a"), F.col("r_class").alias("b"), "jaccard")
 
 
-def similar_sets(left: DataFrame, right: DataFrame, only: Column | None = None) -> DataFrame:
+def similar_sets(left: DataFrame, right: DataFrame, only: Column | None = None, pair_floor: Column | None = None) -> DataFrame:
     """Pairs of rows at or above their threshold: the keys of both sides as l_..., r_..., overlap, jaccard; with
     ``only`` those it holds for.
 
-    Both sides are ordered by ``rarest_first`` with the same counts.
+    Both sides are ordered by ``rarest_first`` with the same counts.  ``pair_floor`` is a threshold of the pair, made
+    of the columns of both sides, and nowhere below those of the rows; above 1 the pair is left out.
     """
+    floor = F.greatest("l_floor", "r_floor") if pair_floor is None else pair_floor
     common = F.array_intersect("l_items", "r_items")  # in the order of the left side, which is that of the right
     met = candidates(left, right)
-    kept = _passing(met if only is None else met.where(only)).withColumn("common", common).where(F.element_at("common", 1) == F.col("item"))
+    kept = _passing(met if only is None else met.where(only), floor).withColumn("common", common).where(F.element_at("common", 1) == F.col("item"))
     jaccard = F.size("common") / (F.col("l_n") + F.col("r_n") - F.size("common"))
     scored = kept.withColumn("overlap", F.size("common")).withColumn("jaccard", jaccard)
     keys = [f"{side}_{c}" for side, df in (("l", left), ("r", right)) for c in df.columns if c not in ("items", "floor")]
-    return scored.where(F.col("jaccard") >= F.greatest("l_floor", "r_floor") - EPS).select(*keys, "overlap", "jaccard")
+    return scored.where(F.col("jaccard") >= floor - EPS).select(*keys, "overlap", "jaccard")

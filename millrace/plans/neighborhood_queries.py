@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import neighborhood, relational as rel, set_join, vectors
+from millrace.operators import neighborhood, set_join, vectors
 from millrace.operators.lineage import stored
 from millrace.plans.tables import foods, recipe_lines, table
 
@@ -16,18 +16,15 @@ CORE_ITEMS = 2
 
 def _inputs(spark, sf_dir):
     core = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("problem"), F.col("o_orderkey").alias("recipe_id"))
-    lines = recipe_lines(spark, sf_dir).select("recipe_id", "food_id")
-    named = lines.join(foods(spark, sf_dir).select("food_id", F.col("brand").alias("node")), "food_id")
-    # the brands of a recipe are read several times: stored once, as one row a recipe
-    brands = stored(named.groupBy("recipe_id").agg(F.collect_set("node").alias("nodes")), "brands").select("recipe_id", F.explode("nodes").alias("node"))
+    brands = foods(spark, sf_dir).select(F.col("food_id").alias("item"), F.col("brand").alias("label"))
+    recipes = set_join.rarest_first_sets(recipe_lines(spark, sf_dir).select("recipe_id", "food_id"), "recipe_id", "food_id", brands)
     vectors_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recipe_id"), F.col("embedding").alias("vector"))
-    return core, lines.withColumnRenamed("food_id", "leaf"), brands, vectors_
+    return neighborhood.prepared(core, recipes.withColumnRenamed("labels", "nodes"), vectors_, DIMENSIONS), vectors_
 
 
 def v10_neighborhood_shell(spark, sf_dir):
     """The shell of every customer's recipes."""
-    core, leaves, brands, recipe_vectors = _inputs(spark, sf_dir)
-    return neighborhood.shell(core, leaves, brands, recipe_vectors, DIMENSIONS)
+    return neighborhood.shell(*_inputs(spark, sf_dir)).drop("nodes")
 
 
 def v10_nearest_core(spark, sf_dir):
@@ -44,12 +41,11 @@ def v10_nearest_core(spark, sf_dir):
 
 def v12_cooccurrence(spark, sf_dir):
     """Shares of other brands among a customer's recipes and their shell that hold its two most frequent brands."""
-    core, leaves, brands, recipe_vectors = _inputs(spark, sf_dir)
-    shell = stored(neighborhood.shell(core, leaves, brands, recipe_vectors, DIMENSIONS).select("problem", "recipe_id"), "shell")
-    items = brands.withColumnRenamed("node", "item")
-    often = core.join(items, "recipe_id").groupBy("problem", "item").agg(F.count(F.lit(1)).alias("n"))
-    wanted = rel.top_k(often, ["problem"], [F.desc("n"), F.asc("item")], CORE_ITEMS).select("problem", "item")
-    return neighborhood.cooccurrence(core.unionByName(shell), items, wanted)
+    problems, recipe_vectors = _inputs(spark, sf_dir)
+    shell = neighborhood.shell(problems, recipe_vectors)
+    neighbors = problems.held.select("problem", F.col("nodes").alias("items")).unionByName(shell.select("problem", F.col("nodes").alias("items")))
+    often = F.transform(F.slice("nodes", 1, CORE_ITEMS), lambda x: x["node"])
+    return neighborhood.cooccurrence(neighbors, problems.profiles.select("problem", often.alias("core_items")))
 
 
 def j9_query_catalog_pairs(spark, sf_dir):
