@@ -3,6 +3,7 @@ foods, cut nodes are brands, and the recipes whose id has an embedding have a ve
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import neighborhood, set_join, vectors
@@ -14,9 +15,15 @@ DIMENSIONS = 64
 CORE_ITEMS = 2
 
 
-def _inputs(spark, sf_dir):
+def _brands(spark, sf_dir):
+    """(brand, code): brands numbered in their order, as arrays of numbers are narrower than those of names."""
+    brands = foods(spark, sf_dir).where("brand is not null").select("brand").distinct()
+    return stored(brands.withColumn("code", F.row_number().over(Window.orderBy("brand"))), "brands")
+
+
+def _inputs(spark, sf_dir, names):
     core = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("problem"), F.col("o_orderkey").alias("recipe_id"))
-    brands = foods(spark, sf_dir).select(F.col("food_id").alias("item"), F.col("brand").alias("label"))
+    brands = foods(spark, sf_dir).join(names, "brand").select(F.col("food_id").alias("item"), F.col("code").alias("label"))
     recipes = set_join.rarest_first_sets(recipe_lines(spark, sf_dir).select("recipe_id", "food_id"), "recipe_id", "food_id", brands)
     vectors_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recipe_id"), F.col("embedding").alias("vector"))
     return neighborhood.prepared(core, recipes.withColumnRenamed("labels", "nodes"), vectors_, DIMENSIONS), vectors_
@@ -24,7 +31,7 @@ def _inputs(spark, sf_dir):
 
 def v10_neighborhood_shell(spark, sf_dir):
     """The shell of every customer's recipes."""
-    return neighborhood.shell(*_inputs(spark, sf_dir)).drop("nodes")
+    return neighborhood.shell(*_inputs(spark, sf_dir, _brands(spark, sf_dir))).drop("nodes")
 
 
 def v10_nearest_core(spark, sf_dir):
@@ -41,11 +48,13 @@ def v10_nearest_core(spark, sf_dir):
 
 def v12_cooccurrence(spark, sf_dir):
     """Shares of other brands among a customer's recipes and their shell that hold its two most frequent brands."""
-    problems, recipe_vectors = _inputs(spark, sf_dir)
+    names = _brands(spark, sf_dir)
+    problems, recipe_vectors = _inputs(spark, sf_dir, names)
     shell = neighborhood.shell(problems, recipe_vectors)
     neighbors = problems.held.select("problem", F.col("nodes").alias("items")).unionByName(shell.select("problem", F.col("nodes").alias("items")))
     often = F.transform(F.slice("nodes", 1, CORE_ITEMS), lambda x: x["node"])
-    return neighborhood.cooccurrence(neighbors, problems.profiles.select("problem", often.alias("core_items")))
+    shares = neighborhood.cooccurrence(neighbors, problems.profiles.select("problem", often.alias("core_items")))
+    return shares.join(names, F.col("item") == F.col("code")).select("problem", F.col("brand").alias("item"), "share")
 
 
 def j9_query_catalog_pairs(spark, sf_dir):
